@@ -2,15 +2,70 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import linededup, quality, simhash
+from loomspark.llm import ann, bpe, langid, linededup, mixing, quality, simhash
 from loomspark.llm.common import table
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)))
+    prototypes = langid.fit(docs, ~F.col("held_out"))
+    return langid.predict(docs, prototypes, ["doc_id", "held_out"])
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("sources"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         CAST('0x' || substr(md5('0:' || doc_id), 1, 15) AS BIGINT) AS h
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, 1.5 * sum(source_size) OVER () AS total, sum(w) OVER () AS mass,
+         coalesce(sum(2 * source_size) OVER before, 0) AS caps, coalesce(sum(w) OVER before, 0) AS closed
+  FROM sources WINDOW before AS (ORDER BY 2 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, (total - caps) / (mass - closed) AS level FROM ordered
+), level AS (
+  SELECT arg_min(level, 2 * source_size / w) FILTER (2 * source_size / w > level) AS level FROM levels
+), targets AS (
+  SELECT source, source_size, least(2 * source_size, coalesce(level.level * w, 2 * source_size)) AS target FROM levels, level
+), want AS (
+  SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM targets
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN quota // source_size::BIGINT ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN quota % source_size::BIGINT ELSE 0 END AS rest FROM want
+), running AS (
+  SELECT s.doc_id, s.size, s.h, p.source_size, p.target, p.passes, p.rest, p.source,
+         sum(s.size) OVER (PARTITION BY p.source ORDER BY s.h) AS upto
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+), passing AS (
+  SELECT source, min(upto) AS upto FROM running WHERE upto >= rest AND rest > 0 GROUP BY source
+), cut AS (
+  SELECT r.source, max(r.h) AS h, any_value(r.upto) AS upto, sum(r.size) AS size, any_value(r.rest) AS rest
+  FROM running r JOIN passing p ON r.source IS NOT DISTINCT FROM p.source AND r.upto = p.upto AND r.size > 0 GROUP BY r.source
+)
+SELECT r.doc_id, r.size, CAST(r.source_size AS BIGINT) AS source_size, r.target,
+       CAST(r.size * (r.passes + CASE WHEN r.h <= CASE WHEN c.rest - (c.upto - c.size) < abs(c.upto - c.rest) THEN c.h - 1 ELSE c.h END THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running r LEFT JOIN cut c ON r.source IS NOT DISTINCT FROM c.source
+"""
+
+
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -43,9 +98,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op6_line_dedup": OP6_SQL}
