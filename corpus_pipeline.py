@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes of it: none, one or two."""
-    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("sources", F.array("source"))).where("taken > 0")
-    times = mixed.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("sources", F.array("source")), keep_text=True).where("taken > 0")
+    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return mixed.withColumn("_", F.explode(times)).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,16 +129,19 @@ def cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return state[0]
 
 
-def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float = SHARE, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float = SHARE, seed: int = 0, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, an array of the sources it belongs to) with size, source_size, target and taken.
 
+    With ``keep_text`` the rows are those of ``docs``, with their texts; they are not moved, as the plan is one row for each pattern.
+
     Source size and target are those of the document's first source; sources come in code-point order, null last, and
     weigh ``weights`` in turn.
     """
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
     carried = [c for c in docs.columns if c not in ("text", "size", "h", "pattern", "target", "taken", "source_size")]
-    sized = materialize(docs.select(*carried, n_words(F.col("text")).alias("size"), key.alias("h"), F.to_json(F.struct(F.col(sources).alias("s")), {"ignoreNullFields": "false"}).alias("pattern")))
+    worked = [n_words(F.col("text")).alias("size"), key.alias("h"), F.to_json(F.struct(F.col(sources).alias("s")), {"ignoreNullFields": "false"}).alias("pattern")]
+    sized = materialize(docs.select(*carried, *worked))
     rows = sized.groupBy("pattern").agg(F.first(sources).alias("s"), F.sum("size").alias("words")).orderBy("pattern").collect()
     members = [[*dict.fromkeys(r.s)] for r in rows]
     names = sorted({s for m in members for s in m}, key=lambda s: (s is None, s or ""))
@@ -158,4 +161,6 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
     told = told.join(F.broadcast(cut), "pattern", "left").drop("want")
     taken = F.col("size") * (F.col("passes") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0))
     # one row for each pattern: the plan has been on the driver already
+    if keep_text:
+        sized, carried = docs.select(*carried, "text", *worked), [*carried, "text"]
     return sized.join(F.broadcast(told), "pattern", "left").select(*carried, "size", "source_size", "target", taken.cast("long").alias("taken"))
