@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import ann, bpe, langid, linededup, mixing, quality, simhash
+from loomspark.llm import ann, bpe, htmltree, langid, licenses, linededup, mixing, quality, simhash
 from loomspark.llm.common import table
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -66,6 +66,60 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: the digits of an id are its directories, so 1234 stands in 1/2/3, and 123 is that directory's licence file."""
+    path = F.array_join(F.split(F.when(F.col("doc_id") >= 0, F.col("doc_id").cast("string")), ""), "/")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    scanned = licenses.scan(files)
+    directories = scanned.select(F.col("path").alias("directory"), F.col("own_license").alias("license"), F.col("own_score").alias("score"))
+    return licenses.inherit(scanned, directories).withColumnRenamed("file_id", "doc_id")
+
+
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{line}')" for i, (name, line) in enumerate(licenses.templates()))
+OP4_SQL = f"""
+WITH files AS (
+  SELECT doc_id, array_to_string(string_split(doc_id::VARCHAR, ''), '/') AS path, text FROM documents
+), lines AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
+  WHERE regexp_matches(line, '(?i)licen[cs]e|copyright|spdx|released under')
+), distinct_lines AS (
+  SELECT line, count(*) AS n FROM lines GROUP BY line
+), templates(t, license, line) AS (VALUES {_TEMPLATES}
+), term AS (
+  SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '([a-z]+|[0-9]+(?:\\.[0-9]+)*)', 1)) AS term FROM distinct_lines) GROUP BY ALL
+), template_term AS (
+  SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(line), '([a-z]+|[0-9]+(?:\\.[0-9]+)*)', 1)) AS term FROM templates) GROUP BY ALL
+), df AS (
+  SELECT term, sum(n) AS df FROM (SELECT term, n FROM term UNION ALL SELECT term, 1 FROM template_term) GROUP BY term
+), idf AS (
+  SELECT term, ln((1 + (SELECT coalesce(sum(n), 0) FROM distinct_lines) + {len(licenses.templates())}) / (1 + df)) + 1 AS idf FROM df
+), w AS (
+  SELECT line, term, tf * idf AS w FROM term JOIN idf USING (term)
+), tw AS (
+  SELECT t, license, term, tf * idf AS tw FROM template_term JOIN idf USING (term)
+), cosine AS (
+  SELECT line, license, round(sum(w * tw) / (any_value(norm) * any_value(tnorm)), 6) AS score
+  FROM w JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line) USING (line)
+  JOIN (SELECT t, sqrt(sum(tw * tw)) AS tnorm FROM tw GROUP BY t) USING (t) GROUP BY line, t, license
+), best AS (
+  SELECT line, license, score FROM cosine WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+), own AS (
+  SELECT doc_id, license, score FROM lines JOIN best USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+), scanned AS (
+  SELECT f.doc_id, f.path, own.license AS own_license, own.score AS own_score FROM files f LEFT JOIN own USING (doc_id)
+), near AS (
+  SELECT a.doc_id, arg_max(b.own_license, length(b.path)) AS found, arg_max(b.path, length(b.path)) AS directory
+  FROM scanned a JOIN scanned b ON a.own_license IS NULL AND b.own_license IS NOT NULL AND starts_with(a.path, b.path || '/') GROUP BY a.doc_id
+)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, found) AS license, CASE WHEN own_license IS NULL THEN directory END AS inherited_from
+FROM scanned LEFT JOIN near USING (doc_id)
+"""
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.html_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -108,4 +162,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_line_dedup": OP6_SQL}
