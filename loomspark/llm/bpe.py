@@ -19,13 +19,14 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
 
 from loomspark.llm.common import map_columns
 
-MOST_STATES, MOST_WORDS = 600_000, 150_000
+MOST_STATES, MOST_WORDS = 1_500_000, 300_000
 #: In texts of these characters alone, the pattern below cuts as the tokenizers' one does, and ``re`` is faster than ``regex``.
 _PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ſ‐-‧]*")
 _PLAIN_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -38,8 +39,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        # trie of the tokens that BPE itself can make; a node is a dict of bytes, with the token's id at -1
+        # trie of the tokens: a node is a dict of bytes; the token that ends at it, or -1
         self.trie: list[dict[int, int]] = [{}]
+        self.token_at = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -47,8 +49,9 @@ class Transducer:
                 if nxt is None:
                     nxt = self.trie[node][byte] = len(self.trie)
                     self.trie.append({})
+                    self.token_at.append(-1)
                 node = nxt
-            self.trie[node][-1] = rank
+            self.token_at[node] = rank
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.made: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
@@ -59,7 +62,8 @@ class Transducer:
     def clear(self) -> None:
         self.states: list[tuple] = [((0, -1, ()),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.n_moves = 0
 
     def merge(self, word: bytes, stop: int = 1) -> list[int]:
         """BPE by its definition: join the neighbours of the lowest rank until none joins. Used on the vocabulary only."""
@@ -129,16 +133,18 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The move from a state by a byte: next state and emitted tokens. Made once, then found in ``moves``."""
-        places, ended = [], None
+        places, ended, trie, token_at, fits = [], None, self.trie, self.token_at, self.fits
         for node, before, waiting in self.states[state]:
-            nxt = self.trie[node].get(byte)
+            nxt = trie[node].get(byte)
             if nxt is None:
                 continue
-            inner = self.trie[nxt]
-            token = inner.get(-1)
-            if token is not None and ended is None and self.follows(before, token):
-                ended = (0, token, (*waiting, token))
-            if len(inner) > (token is not None):
+            if ended is None:
+                token = token_at[nxt]
+                if token >= 0:
+                    ok = fits.get(before << 20 | token)
+                    if self.follows(before, token) if ok is None else ok:
+                        ended = (0, token, (*waiting, token))
+            if trie[nxt]:
                 places.append((nxt, before, waiting))
         if ended is not None:
             places.append(ended)
@@ -159,7 +165,9 @@ class Transducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, emitted)
+            self.moves.append({})
+        move = self.moves[state][byte] = (number, emitted)
+        self.n_moves += 1
         return move
 
     def encode(self, word: bytes) -> list[int]:
@@ -167,15 +175,17 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.moves) > MOST_STATES:
+        if self.n_moves > MOST_STATES:
             self.clear()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in word:
-            move = moves.get(state << 8 | byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
+            move = moves[state].get(byte)
+            if move is None:
+                move = self.step(state, byte)
+            state, new = move
+            if new:
+                out += new
         # at the end the place that has no open bytes is the encoding
         for node, _, waiting in reversed(self.states[state]):
             if node == 0:
@@ -210,11 +220,12 @@ class StreamDecoder:
 
     def text(self, ids: list[int]) -> str:
         plain = self.plain
-        parts = [plain[i] for i in ids]
-        if None not in parts:
-            return "".join(parts)
+        try:
+            return "".join(map(plain.__getitem__, ids))
+        except TypeError:  # a token that ends or begins inside a character
+            pass
         out, begun = [], b""
-        for i, part in zip(ids, parts):
+        for i, part in zip(ids, map(plain.__getitem__, ids)):
             if not begun and part is not None:
                 out.append(part)
                 continue
@@ -230,6 +241,22 @@ class StreamDecoder:
         return "".join(out)
 
 
+class Words(dict):
+    """Pretokens that have been met: their ids as decimal numbers joined by commas, and as tuple."""
+
+    def __init__(self, fst: Transducer, older: dict) -> None:
+        super().__init__()
+        self.fst, self.older = fst, dict(older)
+
+    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
+        known = self.older.get(word)
+        if known is None:
+            ids = tuple(self.fst.encode(word.encode("utf-8", "surrogatepass")))
+            known = (",".join(map(str, ids)), ids)
+        self[word] = known
+        return known
+
+
 class Codec:
     """Cuts texts by the tokenizers' pattern, encodes each match, and decodes."""
 
@@ -237,8 +264,7 @@ class Codec:
         self.fst, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.plain_cut = pattern == _PLAIN_FOR
         self.decoder = StreamDecoder(self.fst.bytes_of)
-        self.words: dict[str, tuple[str, list[int]]] = {}
-        self.older = self.words
+        self.words = Words(self.fst, {})
 
     def cut(self, text: str) -> list[str]:
         if self.plain_cut and _PLAIN.fullmatch(text):
@@ -247,21 +273,11 @@ class Codec:
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same as decimal numbers joined by commas."""
-        words, ids, named = self.words, [], []
-        for w in self.cut(text):
-            known = words.get(w)
-            if known is None:
-                known = self.older.get(w)
-                if known is None:
-                    new = self.fst.encode(w.encode("utf-8", "surrogatepass"))
-                    known = (",".join(map(str, new)), new)
-                words[w] = known
-                if len(words) > MOST_WORDS:  # what has not been met since the last change goes
-                    self.older, words = words, {}
-                    self.words = words
-            named.append(known[0])
-            ids += known[1]
-        return ids, ",".join(named)
+        if len(self.words) > MOST_WORDS:  # what has not been met since the last change goes
+            self.words = Words(self.fst, self.words)
+        words = self.words
+        got = [words[w] for w in self.cut(text)]
+        return list(chain.from_iterable([g[1] for g in got])), ",".join([g[0] for g in got])
 
     def decode(self, ids: list[int]) -> bytes:
         return self.decoder.text(ids).encode("utf-8", "surrogatepass")
