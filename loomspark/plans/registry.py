@@ -1,11 +1,420 @@
-"""All registered queries and their SQL."""
+"""All registered queries over the test tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as T
+from loomspark.operators import chunks, graph, impact, index, layout, quality, search, usage, views
+from loomspark.operators.policy import Policy, TablePolicy
+from loomspark.plans import relations as R
+from loomspark.sources import corpus
+from loomspark.sources.scratch import folder
+from loomspark.streaming import rollup as streams
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def asof(spark: SparkSession, d: str):
+    """The last event's time: one value."""
+    at = R.table(spark, d, "events").agg(F.max("ts").alias("t")).first().t
+    return F.lit(at).cast("timestamp_ntz"), T.local_day(F.lit(at))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TERMS = "list_filter(regexp_split_to_array(translate(lower(translate({0}, 'İ', 'i')), '?!.,;:()\"“”''’`', '              '), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: length(t) >= 2 AND t NOT IN (" + _STOP + "))"
+_BM25 = f"""
+terms AS (SELECT path, key, status, unnest({_TERMS.format("title")}) AS term, 3 AS w FROM docs UNION ALL SELECT path, key, status, unnest({_TERMS.format("text")}), 1 FROM docs),
+live AS (SELECT * FROM terms WHERE status <> 'kaldırıldı'),
+post AS (SELECT term, key, sum(w) AS tf FROM live GROUP BY ALL),
+lens AS (SELECT key, sum(tf) AS len FROM post GROUP BY key),
+stats AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
+q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark)),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+scored AS (SELECT qid, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+  FROM q JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (key), stats GROUP BY ALL),
+text_hits AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) - 1 AS rank FROM scored QUALIFY rank < 30)
+"""
+
+
+def live_postings(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(search.prefilter(R.docs(spark, d)).select("key", "title", "content"))
+
+
+@query(R.sql("SELECT qid, key, score, rank FROM text_hits WHERE rank < 10", "docs", recursive=_BM25))
+def text_search(spark, d):
+    return search.text_search(live_postings(spark, d), R.questions(spark, d), 10)
+
+
+_KNN = """
+knn AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) - 1 AS rank FROM (
+  SELECT q.vec_id AS qid, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 40) QUALIFY rank < 30)
+"""
+
+
+def vector_hits(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
+    v = R.vectors(spark, d)
+    return search.knn(v, v.where("key < 40").select(F.col("key").alias("qid"), "vec"), k)
+
+
+@query(R.sql("SELECT qid, key, score, rank FROM knn WHERE rank < 10", recursive=_KNN))
+def vector_knn(spark, d):
+    return vector_hits(spark, d, 10)
+
+
+_FUSED = """
+lists AS (SELECT qid, 0 AS list, 1.0 AS weight, key, rank FROM text_hits UNION ALL SELECT qid, 1, 2.0, key, rank FROM knn),
+fused AS (SELECT qid, key, round(sum(weight / (20 + rank + 1)), 9) AS score, min({'l': list, 'r': rank}) AS first FROM lists GROUP BY ALL),
+ranked AS (SELECT qid, f.key, score, docs.module AS path, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first.l, first.r) - 1 AS rank FROM fused f JOIN docs ON docs.key = f.key)
+"""
+
+
+@query(R.sql("SELECT qid, key, path, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY rank) AS n FROM ranked) WHERE n <= 2 QUALIFY place <= 8", "docs", recursive=", ".join([_BM25, _KNN, _FUSED])))
+def hybrid_search(spark, d):
+    """Text and vector lists fused by weighted reciprocal rank; two hits a module, eight a question."""
+    text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
+    asked = R.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    fused = search.hybrid(text, vector_hits(spark, d).withColumn("key", F.col("key").cast("long")))
+    hits = fused.join(R.docs(spark, d).select("key", F.col("module").alias("path")), "key")
+    return search.cap(hits).select("qid", "key", "path", "score", "place")
+
+
+_EVAL = """
+vec AS (SELECT knn.qid, knn.key, rank, e.label::VARCHAR AS path, q.label::VARCHAR AS want FROM knn JOIN embeddings e ON e.vec_id = knn.key JOIN embeddings q ON q.vec_id = knn.qid WHERE knn.key <> knn.qid),
+ranking AS (SELECT qid, path, want, row_number() OVER (PARTITION BY qid ORDER BY best) - 1 AS rank FROM (SELECT qid, path, want, min(rank) AS best FROM vec GROUP BY ALL)),
+firsts AS (SELECT q.vec_id AS qid, (SELECT min(rank) FROM ranking r WHERE r.qid = q.vec_id AND r.path = r.want) AS r FROM embeddings q WHERE vec_id < 40)
+"""
+
+
+@query(R.sql("SELECT round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1, round(avg(CASE WHEN r < 3 THEN 100.0 ELSE 0 END), 1) AS hit3, round(avg(CASE WHEN r < 5 THEN 100.0 ELSE 0 END), 1) AS hit5, round(avg(CASE WHEN r < 10 THEN 1.0 / (r + 1) ELSE 0 END), 3) AS mrr FROM firsts", recursive=", ".join([_KNN, _EVAL])))
+def retrieval_score(spark, d):
+    v = R.vectors(spark, d)
+    hits = vector_hits(spark, d).where("key <> qid").join(v.select("key", "path"), "key")
+    return search.score(search.doc_ranking(hits), v.where("key < 40").select(F.col("key").alias("qid"), "path"))
+
+
+@query()
+def fusion_sweep(spark, d):
+    """Settings of the fusion by hit@1, hit@5 and MRR, against documents that hold the passage."""
+    text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
+    got = search.sweep(text, vector_hits(spark, d)).withColumnRenamed("key", "path")
+    relevant = text.where("rank = 0").select("qid", F.col("key").alias("path"))
+    return search.leaderboard(search.score(got, relevant, ["k", "w"]))
+
+
+@query(R.sql("SELECT path, row_number() OVER (PARTITION BY path ORDER BY pos) AS nth, line AS text, pos AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs) WHERE contains(lower(translate(line, 'İI', 'ii')), 'tion') AND length(trim(line)) <= 40", "docs"))
+def grep_lines(spark, d):
+    """All short lines with a word part, any case, numbered from 1."""
+    from pyspark.sql import Window
+
+    lines = R.docs(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    hits = lines.where(T.fold(F.col("text")).contains("tion") & (F.length(F.trim("text")) <= 40))
+    return hits.select("path", F.row_number().over(Window.partitionBy("path").orderBy("pos")).alias("nth"), "text", (F.col("pos") + 1).alias("line"))
+
+
+@query("""
+WITH RECURSIVE blocks AS (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents),
+lens AS (SELECT doc_id, list_transform(b, lambda x: length(x)) AS n, len(b) AS m FROM blocks),
+fold(doc_id, i, cur, piece) AS (
+  SELECT doc_id, 1, n[1], 1 FROM lens
+  UNION ALL
+  SELECT f.doc_id, i + 1, CASE WHEN cur = 0 OR cur + n[i + 1] + 2 <= 2400 THEN CASE WHEN cur = 0 THEN n[i + 1] ELSE cur + 1 + n[i + 1] END ELSE n[i + 1] END, CASE WHEN cur = 0 OR cur + n[i + 1] + 2 <= 2400 THEN piece ELSE piece + 1 END
+  FROM fold f JOIN lens USING (doc_id) WHERE i < m
+), pieces AS (
+  SELECT f.doc_id, piece, string_agg(b[i], chr(10) ORDER BY i) AS text FROM fold f JOIN blocks USING (doc_id) WHERE b[i] <> '' GROUP BY ALL
+)
+SELECT doc_id, count(*) AS pieces, max(length(text)) AS longest, sha256(string_agg(text, '|' ORDER BY piece)) AS digest FROM pieces GROUP BY doc_id
+""")
+def chunk_pieces(spark, d):
+    """Texts packed by lines into pieces of 2400 characters."""
+    p = R.table(spark, d, "documents").select("doc_id", F.filter(T.pack(F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n"), sep="\n", pattern="\n"), lambda x: x != "").alias("p"))
+    return p.where(F.size("p") > 0).select("doc_id", F.size("p").cast("long").alias("pieces"), F.array_max(F.transform("p", lambda x: F.length(x))).cast("long").alias("longest"), T.sha(F.array_join("p", "|")).alias("digest"))
+
+
+@query("SELECT doc_id, lower(translate(substr(text, 1, 200), 'İI', 'ii')) AS folded, sha256(text) AS hash, CASE WHEN length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) > 80 THEN substr(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 79) || '…' ELSE trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') END AS line, len(list_distinct(" + _TERMS.format("text") + ")) AS n_terms FROM documents")
+def text_functions(spark, d):
+    t = F.col("text")
+    return R.table(spark, d, "documents").select("doc_id", T.fold(F.substring(t, 1, 200)).alias("folded"), T.sha(t).alias("hash"), T.one_line(t, 80).alias("line"), F.size(T.question_terms(t)).cast("long").alias("n_terms"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT doc_id, pos, line, sum(CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section, pos % 4 = 0 AS head, trim(line, ' ') AS title FROM l),
+s AS (SELECT doc_id, section, max(title) FILTER (head) AS h2, trim(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM m GROUP BY ALL)
+SELECT doc_id, section, h2, text FROM s WHERE text <> ''
+""")
+def text_sections(spark, d):
+    """Every fourth line as a heading: sections of the texts."""
+    md = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
+    rows = R.table(spark, d, "documents").select("doc_id", md.alias("body"))
+    return chunks.sections(rows, "doc_id", "body").select("doc_id", "section", "h2", "text")
+
+
+_LEDGER = "ledger AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents WHERE doc_id % 11 <> 0), cur AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' v2' ELSE text END) AS hash FROM documents WHERE doc_id % 13 <> 0)"
+
+
+@query(f"WITH {_LEDGER} SELECT id, CASE WHEN l.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'removed' WHEN l.hash = c.hash THEN 'same' ELSE 'changed' END AS state FROM cur c FULL JOIN ledger l USING (id)")
+def index_diff(spark, d):
+    """Two commits: an old ledger without some documents, and a new one with others gone and some changed."""
+    return index.diff(_current(spark, d), _ledger(spark, d))
+
+
+def _ledger(spark, d):
+    return R.table(spark, d, "documents").where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), T.sha(F.col("text")).alias("hash"))
+
+
+def _current(spark, d):
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+    return R.table(spark, d, "documents").where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), T.sha(text).alias("hash"))
+
+
+@query(f"WITH {_LEDGER} SELECT DISTINCT hash FROM cur WHERE hash NOT IN (SELECT hash FROM ledger)")
+def missing_embeddings(spark, d):
+    return index.missing(_current(spark, d), _ledger(spark, d).select(F.col("hash").alias("key")))
+
+
+@query(R.sql("SELECT day, user_id, tool, calls, errors FROM daily", "daily"))
+def usage_rollup(spark, d):
+    return usage.rollup(R.events(spark, d))
+
+
+@query(R.sql("SELECT user_id, name, tool, sum(calls) AS calls, sum(errors) AS errors FROM daily JOIN users ON users.id = user_id, clock WHERE day > today - 30 GROUP BY ALL", "daily", "users", "clock"))
+def usage_summary(spark, d):
+    return usage.summary(usage.rollup(R.events(spark, d)), R.users(spark, d), 30, asof(spark, d)[1])
+
+
+@query(R.sql("SELECT CAST(x.day AS DATE) AS day, coalesce(sum(calls), 0) AS calls, coalesce(sum(errors), 0) AS errors FROM (SELECT unnest(generate_series(today - 29, today, INTERVAL 1 DAY)) AS day FROM clock) x LEFT JOIN daily ON daily.day = x.day GROUP BY 1", "daily", "clock"))
+def usage_daily_totals(spark, d):
+    return usage.daily_totals(usage.rollup(R.events(spark, d)), 30, asof(spark, d)[1])
+
+
+@query(R.sql("""SELECT (SELECT count(*) FILTER (disabled_at IS NULL) FROM users) AS enabled, count(DISTINCT user_id) FILTER (day > today - 7) AS active_7d, sum(calls) FILTER (day > today - 1) AS today, sum(calls) FILTER (day > today - 7) AS calls_7d, sum(calls) FILTER (day > today - 30) AS calls_30d,
+(SELECT count(*) FROM usage_events e, clock a WHERE e."at" > a."at" - INTERVAL 7 DAY AND tool = 'view' AND coalesce(CAST(json_extract_string(result, '$.k') AS INT), 0) = 0) AS empty_7d FROM daily, clock""", "daily", "users", "clock"))
+def usage_overview(spark, d):
+    e = R.events(spark, d)
+    return usage.overview(e, usage.rollup(e), R.users(spark, d), asof(spark, d)[0])
+
+
+@query(R.sql("SELECT e.id, e.\"at\", user_id, name, tool, result, error FROM usage_events e LEFT JOIN users u ON u.id = user_id, clock a WHERE e.\"at\" > a.\"at\" - INTERVAL 7 DAY AND coalesce(CAST(json_extract_string(result, '$.k') AS INT), 0) = 0 ORDER BY e.\"at\" DESC, e.id DESC LIMIT 50", "usage_events", "users", "clock"))
+def usage_recent_empty(spark, d):
+    return usage.recent(R.events(spark, d), R.users(spark, d), asof(spark, d)[0], only_empty=True)
+
+
+@query(R.sql("SELECT user_id, coalesce(sum(calls) FILTER (tool = 'click'), 0) AS click, coalesce(sum(calls) FILTER (tool = 'error'), 0) AS error, coalesce(sum(calls) FILTER (tool = 'purchase'), 0) AS purchase, coalesce(sum(calls) FILTER (tool = 'signup'), 0) AS signup, coalesce(sum(calls) FILTER (tool = 'view'), 0) AS \"view\", sum(calls) AS total, sum(errors) AS errors FROM daily GROUP BY user_id", "daily"))
+def usage_pivot(spark, d):
+    return usage.user_tool_pivot(usage.rollup(R.events(spark, d)), ["click", "error", "purchase", "signup", "view"])
+
+
+@query(R.sql("SELECT tool, calls, errors, round(errors / calls, 4) AS error_rate, round(100.0 * calls / max(calls) OVER (), 1) AS width FROM (SELECT tool, sum(calls)::DOUBLE AS calls, sum(errors) AS errors FROM daily GROUP BY tool)", "daily"))
+def usage_tools(spark, d):
+    return usage.tool_stats(usage.rollup(R.events(spark, d)))
+
+
+@query(R.sql("SELECT u.id AS user_id, name, coalesce(t.tokens, 0) AS tokens, t.last_used, coalesce(c.calls, 0) AS calls_30d FROM users u LEFT JOIN (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS tokens, max(o_orderdate) AS last_used FROM orders GROUP BY 1) t ON o_custkey = u.id LEFT JOIN (SELECT user_id, sum(calls) AS calls FROM daily, clock WHERE day > today - 30 GROUP BY 1) c ON c.user_id = u.id", "daily", "users", "clock"))
+def usage_users(spark, d):
+    tokens = R.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", 1).alias("revoked_at"), F.col("o_orderdate").alias("last_used_at"))
+    return usage.user_rows(R.users(spark, d), tokens, usage.rollup(R.events(spark, d)), asof(spark, d)[1])
+
+
+@query(R.sql("SELECT e.id, coalesce(name, 'silinmiş kullanıcı') AS who, tool, CAST(json_extract_string(result, '$.k') AS INT) AS n, error IS NOT NULL AS failed FROM usage_events e LEFT JOIN users u ON u.id = user_id", "usage_events", "users"))
+def usage_live_rows(spark, d):
+    u = R.users(spark, d).select(F.col("id").alias("user_id"), "name")
+    return usage.live_row(R.events(spark, d).join(u, "user_id", "left"))
+
+
+@query(R.sql("SELECT e.id, e.\"at\", user_id, tool, error, result FROM usage_events e, clock a WHERE e.\"at\" >= a.\"at\" - INTERVAL 10 DAY", "usage_events", "clock"))
+def usage_purge(spark, d):
+    return usage.purge(R.events(spark, d), asof(spark, d)[0], 10)
+
+
+_TABLE = """
+table_rows AS (SELECT t.team, t.team AS place, count(id) AS played, count(*) FILTER (scored > conceded) AS won, count(*) FILTER (scored = conceded) AS drawn, count(*) FILTER (scored < conceded) AS lost, coalesce(sum(scored), 0) AS gf, coalesce(sum(conceded), 0) AS ga
+  FROM teams t LEFT JOIN sides s ON s.team = t.team AND status = 'completed' GROUP BY t.team),
+standing AS (SELECT *, gf - ga AS gd, 3 * won + drawn AS points, row_number() OVER (ORDER BY 3 * won + drawn DESC, gf - ga DESC, gf DESC, place) AS position FROM table_rows)
+"""
+
+
+def standing(spark, d):
+    return views.league_table(R.teams(spark, d).select("team", F.col("team").alias("place")), R.fixtures(spark, d))
+
+
+@query(R.sql("SELECT * FROM standing", "sides", "teams", recursive=_TABLE))
+def league_table(spark, d):
+    return standing(spark, d)
+
+
+@query(R.sql("SELECT status, count(*) AS n FROM fixtures GROUP BY status", "fixtures"))
+def fixture_status(spark, d):
+    return views.fixture_status(R.fixtures(spark, d))
+
+
+@query(R.sql("SELECT id, home, away, home_goals, away_goals, status, match_date, h.name AS home_name, a.name AS away_name FROM fixtures LEFT JOIN teams h ON h.team = home LEFT JOIN teams a ON a.team = away WHERE status <> 'completed' ORDER BY match_date, id LIMIT 20", "fixtures", "teams"))
+def open_fixtures(spark, d):
+    return views.with_names(views.open_fixtures(R.fixtures(spark, d)), R.teams(spark, d)).select("id", "home", "away", "home_goals", "away_goals", "status", "match_date", "home_name", "away_name")
+
+
+@query(R.sql("SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, id DESC) AS r FROM sides QUALIFY r <= 8", "sides"))
+def recent_matches(spark, d):
+    return views.recent_matches(R.fixtures(spark, d))
+
+
+@query(R.sql("SELECT t.team, t.name, n.n_name AS owner_name, points, position FROM teams t LEFT JOIN nation n ON n.n_nationkey = owner LEFT JOIN standing USING (team)", "sides", "teams", recursive=_TABLE))
+def team_card(spark, d):
+    return views.team_card(R.teams(spark, d), R.owners(spark, d), standing(spark, d))
+
+
+@query(R.sql("""SELECT team, name, min(ord) AS ord FROM (
+SELECT * FROM (SELECT team, name, 0 AS ord FROM teams WHERE team::VARCHAR = '1' ORDER BY team LIMIT 10) UNION ALL
+SELECT * FROM (SELECT team, name, 1 FROM teams WHERE contains(lower(name), '1') ORDER BY team LIMIT 10) UNION ALL
+SELECT * FROM (SELECT team, name, 2 FROM teams WHERE owner IN (SELECT n_nationkey FROM nation WHERE contains(lower(n_name), '1')) ORDER BY team LIMIT 10)) GROUP BY team, name ORDER BY ord, team LIMIT 15""", "teams"))
+def find_team(spark, d):
+    return views.find_team(R.teams(spark, d), R.owners(spark, d), "1")
+
+
+POLICY = Policy({"customer": TablePolicy("customer.parquet", "customers", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")), "orders": TablePolicy("orders.parquet", "orders", None, False)}, denied="acctbal|token", key="c_custkey")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, min(c_name) AS first_name FROM customer GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 200")
+def policy_aggregate(spark, d):
+    return POLICY.aggregate(POLICY.table(spark, "customer", d), "customer", ["c_mktsegment"], [F.count("*").alias("n"), F.min("c_name").alias("first_name")])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '7') ORDER BY c_custkey OFFSET 5 LIMIT 100")
+def policy_find(spark, d):
+    t = POLICY.table(spark, "customer", d)
+    return POLICY.find(t, "customer", F.lower("c_name").contains("7"), ["c_custkey", "c_name"], ["c_custkey"], 500, 5)
+
+
+@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
+def graph_reachable(spark, d):
+    e = R.edges(spark, d)
+    return graph.reachable(e, spark.range(1).select(F.col("id").alias("node")))
+
+
+@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node WHERE dst % 10 <> 5)"))
+def graph_closure(spark, d):
+    e = R.edges(spark, d)
+    return graph.closure(e, spark.range(1).select(F.col("id").alias("node")), e.where("dst % 10 = 5").select(F.col("dst").alias("node")).distinct())
+
+
+@query(R.sql("SELECT root, string_agg(DISTINCT (node % 3)::VARCHAR, ',' ORDER BY (node % 3)::VARCHAR) AS attrs, count(DISTINCT node) AS n FROM reach GROUP BY root", "edges", recursive="reach(root, node) AS (SELECT DISTINCT src, src FROM edges WHERE src < 10 UNION SELECT root, dst FROM reach JOIN edges ON src = node)"))
+def graph_rollup(spark, d):
+    """Attributes of what each of ten roots reaches."""
+    e = R.edges(spark, d)
+    pairs = graph.pairs_reachable(e, e.where("src < 10").select(F.col("src").alias("node")))
+    attrs = pairs.select("node").distinct().withColumn("attr", (F.col("node") % 3).cast("string"))
+    return graph.attribute_rollup(pairs, attrs).join(pairs.groupBy("root").agg(F.count("*").alias("n")), "root")
+
+
+@query(R.sql("SELECT DISTINCT dst AS src, src AS dst FROM edges", "edges"))
+def graph_reverse(spark, d):
+    return graph.reverse(R.edges(spark, d))
+
+
+@query(R.sql("SELECT s AS subject, CASE WHEN max(CASE WHEN node IS NOT NULL THEN 1 WHEN src IS NOT NULL THEN 0 END) = 1 THEN 'active' WHEN max(src) IS NOT NULL THEN 'unreachable' ELSE 'unused' END AS class FROM (SELECT unnest(range(100)) AS s) LEFT JOIN edges ON dst = s LEFT JOIN (SELECT DISTINCT node FROM reach) r ON r.node = src GROUP BY s", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
+def graph_usage_class(spark, d):
+    e = R.edges(spark, d)
+    reached = graph.reachable(e, spark.range(1).select(F.col("id").alias("node")))
+    return graph.usage_class(spark.range(100).select(F.col("id").alias("subject")), e.select(F.col("dst").alias("subject"), F.col("src").alias("user")), reached)
+
+
+def _impact_docs(spark, d):
+    near = lambda k: F.concat(F.lit("src/"), ((F.col("key") + k) % 97).cast("string"), F.lit("/f"), (F.col("key") + k).cast("string"), F.lit(".ts"))
+    return R.docs(spark, d).withColumn("sources", F.array(near(0), near(1)))
+
+
+def _changes(spark, d):
+    k = F.col("doc_id")
+    path = F.concat(F.lit("src/"), (k % 97).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".ts"))
+    old = F.concat(F.lit("src/"), ((k + 5) % 97).cast("string"), F.lit("/f"), (k + 5).cast("string"), F.lit(".ts"))
+    return R.table(spark, d, "documents").where("doc_id % 29 = 0").select(F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R")), (k % 4 + 1).cast("int")).alias("status"), path.alias("path"), F.when(k % 4 == 3, old).alias("old_path"))
+
+
+@query(R.sql("""SELECT path AS doc, string_agg(reason, '; ' ORDER BY ord, reason) AS reasons FROM (
+  SELECT DISTINCT docs.path, 'source changed: ' || ch.p AS reason, 0 AS ord FROM docs JOIN (SELECT DISTINCT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM documents WHERE doc_id % 29 = 0) x ON k IN (docs.key, docs.key + 1), (SELECT 1), LATERAL (SELECT 'src/' || (k % 97) || '/f' || k || '.ts' AS p) ch
+  UNION SELECT 'flows/src0/0.md', 'rule: ^src/0/', 1 WHERE EXISTS (SELECT 1 FROM (SELECT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM documents WHERE doc_id % 29 = 0) WHERE k % 97 = 0)) GROUP BY path""", "docs"))
+def impact_docs(spark, d):
+    """Documents that a set of changes affects, with their reasons."""
+    docs, changes = _impact_docs(spark, d), impact.relevant(_changes(spark, d))
+    rules = spark.createDataFrame([("^src/0/", "flows/src0/0.md")], "pattern string, doc string")
+    found = impact.collect([impact.by_source(changes, docs), impact.by_rule(changes, rules)], docs)
+    return found.select("doc", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(R.sql("SELECT DISTINCT 'status' AS rule, 'retryable' AS severity, path, 'status: ' || status AS message FROM docs WHERE status <> 'canlıda' UNION SELECT 'todo', 'retryable', path, 'the' FROM docs WHERE contains(text, 'Thtion')", "docs"))
+def quality_report(spark, d):
+    docs = R.docs(spark, d)
+    marked = quality.todo(docs, "Thtion").withColumn("message", F.lit("the"))
+    return quality.run([quality.vocabulary(docs, ["canlıda"]), marked])
+
+
+@query("SELECT DISTINCT 'broken-link' AS rule, 'retryable' AS severity, page_id::VARCHAR AS path, link AS message FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE substr(link, 2) NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)")
+def quality_broken_links(spark, d):
+    pages = R.table(spark, d, "pages")
+    links = pages.select(F.col("page_id").cast("string").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return quality.broken_links(links, pages.select(F.col("url").alias("target"))).distinct()
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM l), b AS (SELECT doc_id, line, count(*) AS had FROM l WHERE pos % 2 = 0 GROUP BY ALL) SELECT a.doc_id AS path, pos, line FROM a LEFT JOIN b USING (doc_id, line) WHERE nth > coalesce(had, 0)")
+def quality_added_lines(spark, d):
+    """Lines beyond those of an older version that had every second line."""
+    lines = R.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return quality.added_lines(lines.where("pos % 2 = 0"), lines)
+
+
+@query(R.sql("SELECT 'flows/' || module AS folder, count(*) AS n FROM docs GROUP BY module", "docs"))
+def folder_counts(spark, d):
+    return quality.folder_counts(R.docs(spark, d))
+
+
+@query(R.sql("SELECT path, title, kind, module, status FROM docs WHERE starts_with(path, 'flows/src1/')", "docs"))
+def list_prefix(spark, d):
+    return R.docs(spark, d).where(F.col("path").startswith("flows/src1/")).select("path", "title", "kind", "module", "status").orderBy("path")
+
+
+@query(R.sql("SELECT day, user_id, tool, calls, errors FROM daily", "daily"))
+def stream_rollup(spark, d):
+    """The log as a file stream, added up batch by batch."""
+    import uuid
+
+    base = f"{folder(spark)}/{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(R.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = raw.select(F.col("event_id").alias("id"), F.col("ts").alias("at"), "user_id", F.col("event_type").alias("tool"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    streams.rollup_stream(events, f"{base}/rollup", f"{base}/state").awaitTermination()
+    return streams.read_rollup(spark, f"{base}/rollup")
+
+
+@query(R.sql("SELECT user_id, date_trunc('minute', max(\"at\")) AS last_used FROM usage_events GROUP BY user_id", "usage_events"))
+def stream_last_used(spark, d):
+    return streams.last_used(R.events(spark, d))
+
+
+@query()
+def layout_map(spark, d):
+    return layout.map3d(R.vectors(spark, d).select("key", "vec"))
+
+
+@query("WITH p AS (SELECT vec_id AS key, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), m AS (SELECT key, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, z - avg(z) OVER () AS z FROM p), r AS (SELECT max(sqrt(x * x + y * y + z * z)) AS r FROM m) SELECT key, round(x / r, 4) AS x, round(y / r, 4) AS y, round(z / r, 4) AS z FROM m, r")
+def layout_normalize(spark, d):
+    v = R.vectors(spark, d)
+    return layout.normalize(v.select("key", *(F.col("vec")[i].cast("double").alias(a) for i, a in enumerate("xyz"))))
