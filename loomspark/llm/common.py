@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}
 
 
+#: Worker processes outlive stages; what operators keep in them for a stage is released by these when the next one begins.
+RELEASED: list[Callable[[], None]] = []
+_last_stage: list[int | None] = [None]
+
+
 def map_columns(df: DataFrame, carry: list[str], use: list[str], made: dict[str, str], fn: Callable) -> DataFrame:
     """Append columns that Python computes from whole Arrow batches.
 
@@ -59,6 +65,11 @@ def map_columns(df: DataFrame, carry: list[str], use: list[str], made: dict[str,
     schema = ", ".join([f"{c} {wide.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} {t}" for c, t in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage = TaskContext.get().stageId()
+        if _last_stage[0] != stage:
+            for release in RELEASED:
+                release()
+            _last_stage[0] = stage
         for b in batches:
             new = fn(*(b.column(c).to_pylist() for c in use))
             arrays = [b.column(c) for c in carry] + [pa.array(v, ARROW[t]) for v, t in zip(new, made.values(), strict=True)]
