@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from loomspark.llm.common import RELEASED, map_columns
 
-MOST_STATES, MOST_WORDS = 700_000, 120_000
+MOST_STATES, MOST_WORDS = 500_000, 60_000
 #: In texts of these characters alone, the pattern below cuts as the tokenizers' one does, and ``re`` is faster than ``regex``.
 _PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ſ‐-‧]*")
 _PLAIN_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
