@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import materialize
 
 PIVOTS, PREFIX, POSTED, PROBED, RERANK = 128, 64, 16, 24, 0.3
-BLOCK, QUERY_BLOCK = 2048, 4096
+BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 def usable(vectors: DataFrame, vec: str) -> DataFrame:
