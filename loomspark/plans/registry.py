@@ -170,22 +170,26 @@ def text_sections(spark, d):
     return chunks.sections(rows, "doc_id", "body").select("doc_id", "section", "h2", "text")
 
 
-_LEDGER = "ledger AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents WHERE doc_id % 11 <> 0), cur AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' v2' ELSE text END) AS hash FROM documents WHERE doc_id % 13 <> 0)"
+_LEDGER = "known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id), ledger AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents SEMI JOIN known USING (doc_id)), cur AS (SELECT d.doc_id AS id, sha256(CASE WHEN quality = 0 THEN text || ' v2' ELSE text END) AS hash FROM documents d LEFT JOIN known k ON k.doc_id = d.doc_id WHERE coalesce(toxic, 0) <> 1)"
 
 
 @query(f"WITH {_LEDGER} SELECT id, CASE WHEN l.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'removed' WHEN l.hash = c.hash THEN 'same' ELSE 'changed' END AS state FROM cur c FULL JOIN ledger l USING (id)")
 def index_diff(spark, d):
-    """Two commits: an old ledger without some documents, and a new one with others gone and some changed."""
+    """Two commits: the old one had the labelled documents; the new one has all but the toxic, with those of low quality edited."""
     return index.diff(_current(spark, d), _ledger(spark, d))
 
 
+def _known(spark, d):
+    return R.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
 def _ledger(spark, d):
-    return R.table(spark, d, "documents").where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), T.sha(F.col("text")).alias("hash"))
+    return R.table(spark, d, "documents").join(_known(spark, d), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), T.sha(F.col("text")).alias("hash"))
 
 
 def _current(spark, d):
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
-    return R.table(spark, d, "documents").where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), T.sha(text).alias("hash"))
+    text = F.when(F.col("quality") == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+    return R.table(spark, d, "documents").join(_known(spark, d), "doc_id", "left").where(F.coalesce("toxic", F.lit(0)) != 1).select(F.col("doc_id").alias("id"), T.sha(text).alias("hash"))
 
 
 @query(f"WITH {_LEDGER} SELECT DISTINCT hash FROM cur WHERE hash NOT IN (SELECT hash FROM ledger)")
@@ -305,23 +309,23 @@ def policy_find(spark, d):
     return POLICY.find(t, "customer", F.lower("c_name").contains("7"), ["c_custkey", "c_name"], ["c_custkey"], 500, 5)
 
 
-@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
+@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 1 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
 def graph_reachable(spark, d):
     e = R.edges(spark, d)
-    return graph.reachable(e, spark.range(1).select(F.col("id").alias("node")))
+    return graph.reachable(e, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
-@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node WHERE dst % 10 <> 5)"))
+@query(R.sql("SELECT DISTINCT node FROM reach", "edges", recursive="reach(node) AS (SELECT 1 UNION SELECT dst FROM reach JOIN edges ON src = node WHERE dst % 10 <> 5)"))
 def graph_closure(spark, d):
     e = R.edges(spark, d)
-    return graph.closure(e, spark.range(1).select(F.col("id").alias("node")), e.where("dst % 10 = 5").select(F.col("dst").alias("node")).distinct())
+    return graph.closure(e, spark.range(1, 2).select(F.col("id").alias("node")), e.where("dst % 10 = 5").select(F.col("dst").alias("node")).distinct())
 
 
-@query(R.sql("SELECT root, string_agg(DISTINCT (node % 3)::VARCHAR, ',' ORDER BY (node % 3)::VARCHAR) AS attrs, count(DISTINCT node) AS n FROM reach GROUP BY root", "edges", recursive="reach(root, node) AS (SELECT DISTINCT src, src FROM edges WHERE src < 10 UNION SELECT root, dst FROM reach JOIN edges ON src = node)"))
+@query(R.sql("SELECT root, string_agg(DISTINCT (node % 3)::VARCHAR, ',' ORDER BY (node % 3)::VARCHAR) AS attrs, count(DISTINCT node) AS n FROM reach GROUP BY root", "edges", recursive="reach(root, node) AS (SELECT DISTINCT src, src FROM edges WHERE src <= 10 UNION SELECT root, dst FROM reach JOIN edges ON src = node)"))
 def graph_rollup(spark, d):
-    """Attributes of what each of ten roots reaches."""
+    """Attributes of what the roots up to 10, a stated query set, reach over all edges."""
     e = R.edges(spark, d)
-    pairs = graph.pairs_reachable(e, e.where("src < 10").select(F.col("src").alias("node")))
+    pairs = graph.pairs_reachable(e, e.where("src <= 10").select(F.col("src").alias("node")))
     attrs = pairs.select("node").distinct().withColumn("attr", (F.col("node") % 3).cast("string"))
     return graph.attribute_rollup(pairs, attrs).join(pairs.groupBy("root").agg(F.count("*").alias("n")), "root")
 
@@ -331,11 +335,11 @@ def graph_reverse(spark, d):
     return graph.reverse(R.edges(spark, d))
 
 
-@query(R.sql("SELECT s AS subject, CASE WHEN max(CASE WHEN node IS NOT NULL THEN 1 WHEN src IS NOT NULL THEN 0 END) = 1 THEN 'active' WHEN max(src) IS NOT NULL THEN 'unreachable' ELSE 'unused' END AS class FROM (SELECT unnest(range(100)) AS s) LEFT JOIN edges ON dst = s LEFT JOIN (SELECT DISTINCT node FROM reach) r ON r.node = src GROUP BY s", "edges", recursive="reach(node) AS (SELECT 0 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
+@query(R.sql("SELECT s AS subject, CASE WHEN max(CASE WHEN node IS NOT NULL THEN 1 WHEN src IS NOT NULL THEN 0 END) = 1 THEN 'active' WHEN max(src) IS NOT NULL THEN 'unreachable' ELSE 'unused' END AS class FROM (SELECT p_partkey AS s FROM part) LEFT JOIN edges ON dst = s LEFT JOIN (SELECT DISTINCT node FROM reach) r ON r.node = src GROUP BY s", "edges", recursive="reach(node) AS (SELECT 1 UNION SELECT dst FROM reach JOIN edges ON src = node)"))
 def graph_usage_class(spark, d):
     e = R.edges(spark, d)
-    reached = graph.reachable(e, spark.range(1).select(F.col("id").alias("node")))
-    return graph.usage_class(spark.range(100).select(F.col("id").alias("subject")), e.select(F.col("dst").alias("subject"), F.col("src").alias("user")), reached)
+    reached = graph.reachable(e, spark.range(1, 2).select(F.col("id").alias("node")))
+    return graph.usage_class(R.table(spark, d, "part").select(F.col("p_partkey").alias("subject")), e.select(F.col("dst").alias("subject"), F.col("src").alias("user")), reached)
 
 
 def _impact_docs(spark, d):
@@ -347,12 +351,12 @@ def _changes(spark, d):
     k = F.col("doc_id")
     path = F.concat(F.lit("src/"), (k % 97).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".ts"))
     old = F.concat(F.lit("src/"), ((k + 5) % 97).cast("string"), F.lit("/f"), (k + 5).cast("string"), F.lit(".ts"))
-    return R.table(spark, d, "documents").where("doc_id % 29 = 0").select(F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R")), (k % 4 + 1).cast("int")).alias("status"), path.alias("path"), F.when(k % 4 == 3, old).alias("old_path"))
+    return R.table(spark, d, "labels").select(F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R")), (k % 4 + 1).cast("int")).alias("status"), path.alias("path"), F.when(k % 4 == 3, old).alias("old_path"))
 
 
 @query(R.sql("""SELECT path AS doc, string_agg(reason, '; ' ORDER BY ord, reason) AS reasons FROM (
-  SELECT DISTINCT docs.path, 'source changed: ' || ch.p AS reason, 0 AS ord FROM docs JOIN (SELECT DISTINCT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM documents WHERE doc_id % 29 = 0) x ON k IN (docs.key, docs.key + 1), (SELECT 1), LATERAL (SELECT 'src/' || (k % 97) || '/f' || k || '.ts' AS p) ch
-  UNION SELECT 'flows/src0/0.md', 'rule: ^src/0/', 1 WHERE EXISTS (SELECT 1 FROM (SELECT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM documents WHERE doc_id % 29 = 0) WHERE k % 97 = 0)) GROUP BY path""", "docs"))
+  SELECT DISTINCT docs.path, 'source changed: ' || ch.p AS reason, 0 AS ord FROM docs JOIN (SELECT DISTINCT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM labels) x ON k IN (docs.key, docs.key + 1), (SELECT 1), LATERAL (SELECT 'src/' || (k % 97) || '/f' || k || '.ts' AS p) ch
+  UNION SELECT 'flows/src0/0.md', 'rule: ^src/0/', 1 WHERE EXISTS (SELECT 1 FROM (SELECT unnest([doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id + 5 END]) AS k FROM labels) WHERE k % 97 = 0)) GROUP BY path""", "docs"))
 def impact_docs(spark, d):
     """Documents that a set of changes affects, with their reasons."""
     docs, changes = _impact_docs(spark, d), impact.relevant(_changes(spark, d))
