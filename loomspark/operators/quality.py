@@ -59,3 +59,35 @@ def run(rules: list[DataFrame]) -> DataFrame:
 
 def folder_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def gen_block(docs: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Generated blocks that differ from the snapshot's (path, block), and documents with a block that it does not know."""
+    own = docs.select("path", T.gen_block(F.col("text")).alias("own")).where("own is not null")
+    rows = own.join(snapshot.select("path", "block", F.lit(True).alias("known")), "path", "left")
+    changed = F.when(F.col("known").isNull(), "unknown generated document").when(~F.col("own").eqNullSafe(F.col("block")), "generated block changed")
+    return _found(rows.withColumn("why", changed).where("why is not null"), "gen-block", "retryable", F.col("path"), F.col("why"))
+
+
+def secrets(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Added lines (path, line) that match a secret's pattern; the message is the pattern's name, never the line."""
+    kinds = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.lit(name)) for name, p in patterns.items())))
+    return _found(lines.select("path", F.explode(kinds).alias("kind")).distinct(), "secret", "fatal", F.col("path"), F.col("kind"))
+
+
+def unknown_names(lines: DataFrame, words: DataFrame, historical: str) -> DataFrame:
+    """Identifiers in added lines (path, line) that are not among ``words`` (word); lines of past wording are exempt."""
+    named = lines.where(~F.col("line").rlike(historical)).select("path", F.explode(T.identifiers(F.col("line"))).alias("word")).distinct()
+    return _found(named.join(words.select("word").distinct(), "word", "left_anti"), "unknown-name", "retryable", F.col("path"), F.col("word"))
+
+
+def coverage(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Names (path, name) that no text mentions as a word."""
+    seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("name")).distinct()
+    return _found(named.join(seen, "name", "left_anti"), "coverage", "retryable", F.col("path"), F.col("name"))
+
+
+def stamp_only(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path) of documents with a generated block whose change is in the commit stamp alone."""
+    rows = after.join(before.select("path", F.col("text").alias("old")), "path").where(F.col("text") != F.col("old"))
+    return rows.where(T.gen_block(F.col("text")).isNotNull() & (T.without_stamp(F.col("text")) == T.without_stamp(F.col("old")))).select("path")
