@@ -36,7 +36,7 @@ def sections(df: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
 
 def chunks(docs: DataFrame, most: int = T.MAX_PIECE, sep: str = "\n\n", pattern: str = "\n{2,}") -> DataFrame:
     """(id, hash, path, part, text, embed_text) of documents (path, title, text)."""
-    pieces = docs.select("path", "title", T.pack(F.col("text"), most, sep, pattern).alias("p")).withColumn("n", F.size("p"))
+    pieces = docs.select("path", "title", T.pack(F.col("text"), most, sep, pattern, tables=True).alias("p")).withColumn("n", F.size("p"))
     rows = pieces.select("path", "title", "n", F.posexplode("p").alias("part", "text"))
     made = F.concat_ws("\n", "title", "text")
     chunk_id = F.concat(F.col("path"), F.lit("#giriş"), F.when(F.col("n") > 1, F.concat(F.lit("#"), (F.col("part") + 1).cast("string"))).otherwise(""))

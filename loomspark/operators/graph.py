@@ -58,6 +58,74 @@ def attribute_rollup(pairs: DataFrame, attrs: DataFrame) -> DataFrame:
     return pairs.join(attrs, "node").groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("attr")), ",").alias("attrs"))
 
 
+def _passed_on(names: DataFrame, reexports: DataFrame, exports: DataFrame) -> DataFrame:
+    """``names`` (file, name) with the (to_file, to_name) that re-exports hand each on to; a name that its file exports itself is not handed on."""
+    open_ = names.join(exports.select("file", "name").distinct(), ["file", "name"], "left_anti").unionByName(names.where("name = '*'")).distinct()
+    r = reexports.select("file", F.col("name").alias("as_name"), F.col("target").alias("to_file"), "source")
+    taken = (F.col("name") == "*") | (F.col("as_name") == F.col("name")) | (F.col("as_name") == "*")
+    kept = F.when((F.col("name") != "*") & (F.col("as_name") == "*") & (F.col("as_name") != F.col("name")), F.col("name")).otherwise(F.col("source"))
+    return open_.join(r, "file").where(taken).select("file", "name", "to_file", kept.alias("to_name"))
+
+
+def reachable_by_name(imports: DataFrame, reexports: DataFrame, exports: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): files that ``seeds`` (node) reach by imports, where a re-exporting file passes on only the names taken from it.
+
+    ``imports``: (src, dst, name); ``reexports``: (file, name, target, source), ``*`` passing all; ``exports``: (file, name).
+    Names that anyone takes are followed first, by rounds; then files and names are one graph that is walked once.
+    """
+    taken = written(imports.select(F.col("dst").alias("file"), "name").distinct())
+    front, links = taken, None
+    while front.take(1):
+        step = written(_passed_on(front, reexports, exports).distinct())
+        links = step if links is None else links.unionByName(step)
+        front = written(step.select(F.col("to_file").alias("file"), F.col("to_name").alias("name")).distinct().join(taken, ["file", "name"], "left_anti"))
+        taken = taken.unionByName(front)
+
+    file = lambda c: F.struct(F.col(c).alias("file"), F.lit(None).cast("string").alias("name"))
+    pair = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
+    key = lambda s: F.to_json(s)
+    edges = imports.select(key(file("src")).alias("src"), key(file("dst")).alias("dst")).unionByName(imports.select(key(file("src")).alias("src"), key(pair("dst", "name")).alias("dst")))
+    gives = taken.where("name = '*'").unionByName(taken.join(exports.select("file", "name").distinct(), ["file", "name"], "left_semi"))
+    edges = edges.unionByName(gives.select(key(pair("file", "name")).alias("src"), key(file("file")).alias("dst")))
+    if links is not None:
+        edges = edges.unionByName(links.select(key(pair("file", "name")).alias("src"), key(pair("to_file", "to_name")).alias("dst")))
+    found = reachable(written(edges.distinct()), seeds.select(key(file("node")).alias("node")))
+    at = F.from_json("node", "file string, name string")
+    return found.select(at.alias("at")).where("at.name is null").select(F.col("at.file").alias("node"))
+
+
+def origin(reexports: DataFrame, defs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, name, at_file, at_name): where a wanted (file, name) is defined (``defs``: file, name), along re-exports (file, nth, name, target, source).
+
+    Of several, the first in the order in which re-exports stand (``nth``), each followed to its end before the next.
+    Names without a definition have no row. Rounds keep each pair's first way and go on while one gets better.
+    """
+    start = ["file", "name", "at_file", "at_name"]
+    now = written(wanted.select("file", "name", F.col("file").alias("at_file"), F.col("name").alias("at_name"), F.array().cast("array<int>").alias("way")).distinct())
+    known = defs.select(F.col("file").alias("at_file"), F.col("name").alias("at_name")).distinct()
+    r = reexports.select(F.col("file").alias("at_file"), F.col("nth").cast("int").alias("nth"), F.col("name").alias("as_name"), "target", "source")
+    front = now
+    while front.take(1):
+        steps = front.join(known, ["at_file", "at_name"], "left_anti").join(r, "at_file").where("as_name = at_name or as_name = '*'")
+        to_name = F.when(F.col("as_name") == "*", F.col("at_name")).otherwise(F.col("source"))
+        best = steps.select("file", "name", F.col("target").alias("at_file"), to_name.alias("at_name"), F.array_append("way", F.col("nth")).alias("way")).groupBy(*start).agg(F.min("way").alias("way"))
+        better = best.join(now.withColumnRenamed("way", "old"), start, "left").where("old is null or way < old").select(*start, "way")
+        front = written(better)
+        now = written(now.join(front, start, "left_anti").unionByName(front))
+    found = now.join(known, ["at_file", "at_name"]).groupBy("file", "name").agg(F.min_by(F.struct("at_file", "at_name"), "way").alias("at"))
+    return found.select("file", "name", "at.at_file", "at.at_name")
+
+
+def users_of(reads: DataFrame, calls: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(field, func, via): functions that use a field, directly (``via`` empty) or through the listed callees; excluded functions neither use nor pass on."""
+    live = lambda df, c: df.join(excluded.select(F.col("func").alias(c)), c, "left_anti")
+    direct = live(reads, "func").select("field", "func").distinct()
+    own = live(live(calls, "func"), "callee")
+    through = own.join(fields_of(live(reads, "func"), own, excluded).withColumnRenamed("func", "callee"), "callee").join(direct, ["field", "func"], "left_anti")
+    listed = through.groupBy("field", "func").agg(F.array_sort(F.collect_set("callee")).alias("via"))
+    return direct.select("field", "func", F.array().cast("array<string>").alias("via")).unionByName(listed)
+
+
 def fields_of(reads: DataFrame, calls: DataFrame, excluded: DataFrame) -> DataFrame:
     """(func, field): fields that a function reads itself or through calls, excluded functions left out."""
     own = calls.join(excluded.select(F.col("func").alias("callee")), "callee", "left_anti").select(F.col("func").alias("src"), F.col("callee").alias("dst"))

@@ -46,6 +46,25 @@ def map3d(vectors: DataFrame) -> DataFrame:
     return normalize(got.select("key", *(F.col("p")[i].alias(a) for i, a in enumerate("xyz"))))
 
 
+def update(vectors: DataFrame, target: str, stamp: str) -> DataFrame:
+    """The map at ``target``, made anew only if ``stamp`` differs from the last one written. The stamp is written last, so a failed run is repeated."""
+    spark = vectors.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/stamp/_SUCCESS")
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    last = spark.read.schema("version long, stamp string").json(f"{target}/stamp").orderBy(F.desc("version")).first() if known else None
+    version = last.version if last else 0
+    if last is None or last.stamp != stamp:
+        version += 1
+        map3d(vectors).write.mode("overwrite").parquet(f"{target}/points/v={version}")
+        spark.createDataFrame([(version, stamp)], "version long, stamp string").write.mode("append").json(f"{target}/stamp")
+    return spark.read.parquet(f"{target}/points/v={version}")
+
+
+def compact(points: DataFrame) -> DataFrame:
+    """(point): one array of key and rounded coordinates for each point."""
+    return points.select(F.array(F.col("key").cast("string"), *(F.round(a, 4).cast("string") for a in "xyz")).alias("point"))
+
+
 def focus(points: DataFrame, hits: DataFrame) -> DataFrame:
     """Centroid of hits (key, w) weighted by ``w``."""
     j = points.join(hits, "key")

@@ -34,6 +34,26 @@ def merge_log(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(F.size(p) > 1).select(p[0].alias("sha"), p[1].alias("subject"), F.regexp_extract(p[1], r"#(\d+)", 1).try_cast("int").alias("pr"))
 
 
+def ground_truth(docs: DataFrame, section: str, base: str = "genel", head: str = "Soru") -> DataFrame:
+    """(path, text, docs): questions and the documents they want, from the table under ``## section`` of documents (path, body).
+
+    Links are taken relative to ``base``, their anchors cut. Header and rule rows and rows without links are left out.
+    """
+    body = F.coalesce(F.col("body"), F.lit(""))
+    start = F.locate(f"## {section}", body)
+    cut = F.when(start > 0, F.substring_index(F.substring(body, start, F.length(body)), "\n## ", 1)).otherwise(F.lit(""))
+    cells = docs.select("path", F.explode(F.split(cut, "\n")).alias("line")).select("path", F.transform(F.split("line", r"\|"), lambda c: F.btrim(c)).alias("c")).where(F.size("c") >= 4)
+    rows = cells.select("path", F.get("c", F.lit(1)).alias("text"), F.regexp_extract_all(F.get("c", F.lit(2)), F.lit(r"\]\(([^)#]+)"), F.lit(1)).alias("links"))
+    rows = rows.where((F.col("text") != head) & ~F.col("text").startswith("---") & (F.size("links") > 0))
+
+    def resolved(x):
+        parts = F.filter(F.split(F.concat(F.lit(base + "/"), x), "/"), lambda p: (p != "") & (p != "."))
+        up = lambda s, p: F.when((p == "..") & (F.size(s) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), s), -1) != ".."), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(F.array_append(s, p))
+        return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+
+    return rows.select("path", "text", F.transform("links", resolved).alias("docs"))
+
+
 def problems(lines: DataFrame, col: str = "value", limit: int = 12) -> DataFrame:
     """Newest warnings and errors of JSON-lines logs; other and partial lines are skipped."""
     rows = lines.where(F.col(col).startswith("{")).select(F.from_json(col, "time string, level string, msg string, error string").alias("j")).select("j.*")
