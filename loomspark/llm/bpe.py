@@ -5,7 +5,8 @@ So an encoder can read bytes from left to right: it keeps the places where the n
 token before it, the trie node of the bytes since, and the tokens not yet emitted), and emits what all of them agree on.
 Such a set of places is a state; states and their moves are made when first met (``Transducer.step``) and looked
 up from then on. A token is emitted at the latest when no longer token can reach over it, so lookahead is bounded by the longest token.
-Whole pretokens are remembered too. Both memories are emptied at a fixed size, so a task's memory is bounded.
+Whole pretokens are remembered too. Both memories are emptied at a given size, so a task's memory is bounded; what they
+hold changes the time taken, never the tokens.
 
 Decoding feeds ids one by one into a UTF-8 state machine whose state is the bytes of an unfinished character.
 
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 
 from loomspark.llm.common import RELEASED, map_columns
 
-MOST_STATES, MOST_WORDS = 500_000, 60_000
+#: Sizes of the memories where a caller names none.
+MOST_STATES, MOST_WORDS = 1_500_000, 300_000
 #: In texts of these characters alone, the pattern below cuts as the tokenizers' one does, and ``re`` is faster than ``regex``.
 _PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ſ‐-‧]*")
 _PLAIN_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -36,8 +38,8 @@ _PLAIN_FOR = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 class Transducer:
     """Encodes byte strings by the ranks of a byte-level BPE."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], states: int = MOST_STATES) -> None:
+        self.ranks, self.most = ranks, states
         self.longest = max(map(len, ranks))
         # trie of the tokens: a node is a dict of bytes; the token that ends at it, or -1
         self.trie: list[dict[int, int]] = [{}]
@@ -111,7 +113,7 @@ class Transducer:
             return ok
         ok = self.fits.get(before << 20 | token)
         if ok is None:
-            if len(self.fits) > MOST_STATES:
+            if len(self.fits) > self.most:
                 self.fits.clear()
             ok = self.follows(-1, token)
             if ok:
@@ -175,7 +177,7 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if self.n_moves > MOST_STATES:
+        if self.n_moves > self.most:
             self.clear()
         out: list[int] = []
         state, moves = 0, self.moves
@@ -196,8 +198,8 @@ class Transducer:
 class StreamDecoder:
     """Ids to text, one at a time; the state is the bytes of a character that has begun."""
 
-    def __init__(self, bytes_of: dict[int, bytes]) -> None:
-        self.bytes_of = bytes_of
+    def __init__(self, bytes_of: dict[int, bytes], states: int = MOST_STATES) -> None:
+        self.bytes_of, self.most = bytes_of, states
         self.plain: dict[int, str | None] = {}
         for i, b in bytes_of.items():
             try:
@@ -231,7 +233,7 @@ class StreamDecoder:
                 continue
             move = self.moves.get((begun, i))
             if move is None:
-                if len(self.moves) > MOST_STATES:
+                if len(self.moves) > self.most:
                     self.moves.clear()
                 move = self.moves[begun, i] = self.split(begun + self.bytes_of[i])
             out.append(move[0])
@@ -260,10 +262,10 @@ class Words(dict):
 class Codec:
     """Cuts texts by the tokenizers' pattern, encodes each match, and decodes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.fst, self.pattern = Transducer(ranks), regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int = MOST_STATES, words: int = MOST_WORDS) -> None:
+        self.fst, self.pattern, self.most_words = Transducer(ranks, states), regex.compile(pattern), words
         self.plain_cut = pattern == _PLAIN_FOR
-        self.decoder = StreamDecoder(self.fst.bytes_of)
+        self.decoder = StreamDecoder(self.fst.bytes_of, states)
         self.words = Words(self.fst, {})
 
     def cut(self, text: str) -> list[str]:
@@ -273,7 +275,7 @@ class Codec:
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same as decimal numbers joined by commas."""
-        if len(self.words) > MOST_WORDS:  # what has not been met since the last change goes
+        if len(self.words) > self.most_words:  # what has not been met since the last change goes
             self.words = Words(self.fst, self.words)
         words = self.words
         got = [words[w] for w in self.cut(text)]
@@ -284,21 +286,24 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, states: int, words: int) -> Codec:
     """One for each worker process; the vocabulary file is read where the worker runs."""
     with open(path, "rb") as f:
-        return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+        return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, states, words)
 
 
 RELEASED.append(codec.cache_clear)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
-    """Per document: n_tokens, digests of the ids and of the decoded bytes; with ``ids`` the token ids and decoded text also."""
+def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False, states: int = MOST_STATES, words: int = MOST_WORDS) -> DataFrame:
+    """Per document: n_tokens, digests of the ids and of the decoded bytes; with ``ids`` the token ids and decoded text also.
+
+    ``states`` and ``words`` bound a worker's memories.
+    """
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if ids else {})
 
     def run(texts: list[str | None]) -> list[list]:
-        own, out = codec(path, pattern), [[] for _ in made]
+        own, out = codec(path, pattern, states, words), [[] for _ in made]
         for t in texts:
             got, named = own.encode(t or "")
             back = own.decode(got)
