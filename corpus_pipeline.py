@@ -1,4 +1,4 @@
-"""From raw documents to token digests: quality rules, line dedup, SimHash near-dedup, mixing, byte-level BPE.
+"""From raw documents to token digests: quality rules, line dedup, near-dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet and reads
 them again as the next one's input. All stages but the last return the columns of ``documents``.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, linededup, mixing, quality, simhash
+from loomspark.llm import bpe, linededup, mixing, nearcopies, quality
 from loomspark.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; rows without an id are kept."""
-    found = simhash.simhash_components(docs.select("doc_id", "text"))
+    """One document, that of the smallest id, of each group of near copies (5-word Jaccard of 0.8 or more); rows without an id are kept."""
+    found = nearcopies.near_components(docs.select("doc_id", "text"))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.select(*COLUMNS).join(first, "doc_id").dropDuplicates(["doc_id"])
     return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
