@@ -142,6 +142,12 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], (reach - base)[last]
 
 
+def itself(first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each place is that of the first of its run, which ``first`` marks: a repeated row meets its own stretches."""
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, np.int64)
+    return (doc == doc[lead]) & (start == start[lead])
+
+
 def rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in columns.values()], names=list(columns))
 
@@ -158,7 +164,7 @@ def met(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             kh, sh, doc, start, size, off = stretches(texts, width, gram)
             order = np.lexsort((start, doc, sh, kh))
             same = np.concatenate([[False], (kh[order][1:] == kh[order][:-1]) & (sh[order][1:] == sh[order][:-1])]) if len(order) else np.zeros(0, bool)
-            gone = np.sort(order[same])
+            gone = np.sort(order[same & ~itself(~same, doc[order], start[order])])
             keep = np.sort(order[~same])
             d, a, z = merged(doc[gone], start[gone], start[gone] + size[gone] + width - 1)
             spread = (d.view(np.uint64) * _MULT).view(np.int64)
@@ -183,7 +189,8 @@ def dealt(found: DataFrame, width: int = WIDTH) -> DataFrame:
         first = new_key | np.concatenate([[True], sh[1:] != sh[:-1]])
         group = np.cumsum(new_key) - 1
         unsure = first & (np.bincount(group, first)[group] > 1)
-        d, a, z = merged(doc[~first], start[~first], (start + size)[~first] + width - 1)
+        gone = ~first & ~itself(first, doc, start)
+        d, a, z = merged(doc[gone], start[gone], (start + size)[gone] + width - 1)
         yield rows(doc_id=d, start=a, size=z, off=np.full(len(d), -1))
         yield rows(doc_id=doc[unsure], start=start[unsure], size=size[unsure], off=off[unsure])
 
