@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as T
 
 K1, B = 1.2, 0.75
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
 FIELD_WEIGHTS = {"title": 3, "aliases": 2, "headings": 2, "content": 1}
 
 
@@ -58,38 +56,38 @@ def prefilter(df: DataFrame, module: str | None = None, kind: str | None = None,
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """(qid, key, score, rank) by cosine of queries (qid, vec) to vectors (key, vec).
 
-    Queries go to the tasks in blocks of about ``QUERY_BLOCK``, a fixed size; each task multiplies a block with its
-    vectors and keeps ``k`` for each query, so what is shuffled is k rows for each query and task.
+    Blocks of about ``QUERY_BLOCK`` queries meet blocks of about ``VECTOR_BLOCK`` vectors by a join; each task keeps ``k`` of a block
+    of vectors for each query.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows, asked = vectors.select("key", "vec").where(F.col("vec").isNotNull()), queries.select("qid", "vec").where(F.col("vec").isNotNull())
+    blocks, query_blocks = max(1, -(-rows.count() // VECTOR_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    left = rows.withColumn("b", dealt("key", blocks)).withColumn("qb", each(query_blocks))
+    right = asked.withColumn("qb", dealt("qid", query_blocks)).withColumn("b", each(blocks))
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, key {vectors.schema['key'].dataType.simpleString()}, score double"
-    rows, out = vectors.select("key", "vec").where(F.col("vec").isNotNull()), None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vec").toPandas()
-        if len(own):
-            part = rows.mapInPandas(_block_search(own.qid.tolist(), np.stack([np.asarray(v, np.float64) for v in own.vec]), k), schema)
-            out = part if out is None else out.unionByName(part)
-    return topk(vectors.sparkSession.createDataFrame([], schema) if out is None else out, k)
+    return topk(left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(_block_search(k), schema), k)
 
 
-def _block_search(qids: list, q: np.ndarray, k: int):
-    def unit(x: np.ndarray) -> np.ndarray:
+def _block_search(k: int):
+    def unit(vec: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, np.float64) for v in vec])
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-    asked = unit(q)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            score, keys = np.round(asked @ unit(np.stack(pdf.vec.to_list()).astype(np.float64)).T, 6), pdf.key.to_numpy()
-            own = [(qid, keys[c], row[c]) for qid, row in zip(qids, score) for c in [np.lexsort((keys, -row))[:k]]]
-            best.append(pd.DataFrame({"qid": np.repeat([o[0] for o in own], [len(o[1]) for o in own]), "key": np.concatenate([o[1] for o in own]), "score": np.concatenate([o[2] for o in own])}))
-            if len(best) > 8:
-                best = [pd.concat(best).sort_values(["score", "key"], ascending=[False, True]).groupby("qid").head(k)]
-        yield from best
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": right.qid[:0], "key": left.key[:0], "score": np.zeros(0)})
+        keys, qids, x, q = left.key.to_numpy(), right.qid.to_numpy(), unit(left.vec), unit(right.vec)
+        at, own, found = [], [], []
+        for i in range(0, len(q), 128):
+            for j, row in enumerate(np.round(q[i : i + 128] @ x.T, 6), i):
+                c = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                c = c[np.lexsort((keys[c], -row[c]))[:k]]
+                at.append(np.full(len(c), j))
+                own.append(keys[c])
+                found.append(row[c])
+        return pd.DataFrame({"qid": qids[np.concatenate(at)], "key": np.concatenate(own), "score": np.concatenate(found)})
 
     return run
 

@@ -72,9 +72,20 @@ knn AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY sco
 """
 
 
-def vector_hits(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
+#: Asked by the queries over the whole table: every hundredth row, and the rows that stand for questions of the benchmark.
+_WHOLE = "(q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark))"
+_KNN_WHOLE = _KNN.replace("q.vec_id < 40", _WHOLE)
+
+
+def asked_of_all(spark: SparkSession, d: str) -> DataFrame:
+    v = R.vectors(spark, d)
+    items = R.table(spark, d, "benchmark").select(F.col("item_id").cast(v.schema["key"].dataType).alias("key"))
+    return v.where("key % 100 = 0").unionByName(v.join(items, "key", "left_semi").where("key % 100 <> 0"))
+
+
+def vector_hits(spark: SparkSession, d: str, k: int = 30, whole: bool = False) -> DataFrame:
     v = R.vectors(spark, d)
-    return search.knn(v, v.where("key < 40").select(F.col("key").alias("qid"), "vec"), k)
+    return search.knn(v, (asked_of_all(spark, d) if whole else v.where("key < 40")).select(F.col("key").alias("qid"), "vec"), k)
 
 
 @query(R.sql("SELECT qid, key, score, rank FROM knn WHERE rank < 10", recursive=_KNN))
@@ -82,6 +93,11 @@ def vector_knn(spark, d):
     return vector_hits(spark, d, 10)
 
 
+@query(R.sql("SELECT qid, key, score, rank FROM knn WHERE rank < 10", recursive=_KNN_WHOLE))
+def vector_knn_whole(spark, d):
+    return vector_hits(spark, d, 10, whole=True)
+
+
 _FUSED = """
 lists AS (SELECT qid, 0 AS list, 1.0 AS weight, key, rank FROM text_hits UNION ALL SELECT qid, 1, 2.0, key, rank FROM knn),
 fused AS (SELECT qid, key, round(sum(weight / (20 + rank + 1)), 9) AS score, min({'l': list, 'r': rank}) AS first FROM lists GROUP BY ALL),
@@ -89,16 +105,23 @@ ranked AS (SELECT qid, f.key, score, docs.module AS path, row_number() OVER (PAR
 """
 
 
-@query(R.sql("SELECT qid, key, path, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY rank) AS n FROM ranked) WHERE n <= 2 QUALIFY place <= 8", "docs", recursive=", ".join([_BM25, _KNN, _FUSED])))
-def hybrid_search(spark, d):
+_CAPPED = "SELECT qid, key, path, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY rank) AS n FROM ranked) WHERE n <= 2 QUALIFY place <= 8"
+
+
+@query(R.sql(_CAPPED, "docs", recursive=", ".join([_BM25, _KNN, _FUSED])))
+def hybrid_search(spark, d, whole=False):
     """Text and vector lists fused by weighted reciprocal rank; two hits a module, eight a question."""
     text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
-    asked = R.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
-    fused = search.hybrid(text, vector_hits(spark, d).withColumn("key", F.col("key").cast("long")))
+    fused = search.hybrid(text, vector_hits(spark, d, whole=whole).withColumn("key", F.col("key").cast("long")))
     hits = fused.join(R.docs(spark, d).select("key", F.col("module").alias("path")), "key")
     return search.cap(hits).select("qid", "key", "path", "score", "place")
 
 
+@query(R.sql(_CAPPED, "docs", recursive=", ".join([_BM25, _KNN_WHOLE, _FUSED])))
+def hybrid_search_whole(spark, d):
+    return hybrid_search(spark, d, whole=True)
+
+
 _EVAL = """
 vec AS (SELECT knn.qid, knn.key, rank, e.label::VARCHAR AS path, q.label::VARCHAR AS want FROM knn JOIN embeddings e ON e.vec_id = knn.key JOIN embeddings q ON q.vec_id = knn.qid WHERE knn.key <> knn.qid),
 ranking AS (SELECT qid, path, want, row_number() OVER (PARTITION BY qid ORDER BY best) - 1 AS rank FROM (SELECT qid, path, want, min(rank) AS best FROM vec GROUP BY ALL)),
@@ -106,18 +129,27 @@ firsts AS (SELECT q.vec_id AS qid, (SELECT min(rank) FROM ranking r WHERE r.qid
 """
 
 
-@query(R.sql("SELECT round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1, round(avg(CASE WHEN r < 3 THEN 100.0 ELSE 0 END), 1) AS hit3, round(avg(CASE WHEN r < 5 THEN 100.0 ELSE 0 END), 1) AS hit5, round(avg(CASE WHEN r < 10 THEN 1.0 / (r + 1) ELSE 0 END), 3) AS mrr FROM firsts", recursive=", ".join([_KNN, _EVAL])))
-def retrieval_score(spark, d):
+_SCORES = "SELECT round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1, round(avg(CASE WHEN r < 3 THEN 100.0 ELSE 0 END), 1) AS hit3, round(avg(CASE WHEN r < 5 THEN 100.0 ELSE 0 END), 1) AS hit5, round(avg(CASE WHEN r < 10 THEN 1.0 / (r + 1) ELSE 0 END), 3) AS mrr FROM firsts"
+
+
+@query(R.sql(_SCORES, recursive=", ".join([_KNN, _EVAL])))
+def retrieval_score(spark, d, whole=False):
     v = R.vectors(spark, d)
-    hits = vector_hits(spark, d).where("key <> qid").join(v.select("key", "path"), "key")
-    return search.score(search.doc_ranking(hits), v.where("key < 40").select(F.col("key").alias("qid"), "path"))
+    hits = vector_hits(spark, d, whole=whole).where("key <> qid").join(v.select("key", "path"), "key")
+    asked = asked_of_all(spark, d) if whole else v.where("key < 40")
+    return search.score(search.doc_ranking(hits), asked.select(F.col("key").alias("qid"), "path"))
+
+
+@query(R.sql(_SCORES, recursive=", ".join([_KNN_WHOLE, _EVAL.replace("WHERE vec_id < 40", f"WHERE {_WHOLE}")])))
+def retrieval_score_whole(spark, d):
+    return retrieval_score(spark, d, whole=True)
 
 
 @query()
 def fusion_sweep(spark, d):
     """Settings of the fusion by hit@1, hit@5 and MRR, against documents that hold the passage."""
     text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
-    got = search.sweep(text, vector_hits(spark, d)).withColumnRenamed("key", "path")
+    got = search.sweep(text, vector_hits(spark, d, whole=True)).withColumnRenamed("key", "path")
     relevant = text.where("rank = 0").select("qid", F.col("key").alias("path"))
     return search.leaderboard(search.score(got, relevant, ["k", "w"]))
 
