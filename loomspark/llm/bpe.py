@@ -304,8 +304,10 @@ class Codec:
         named, back = zip(*got)
         return ",".join(named), "".join(back)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.trip(text)[0].split(",") if i]
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """Ids, and the same as decimal numbers joined by commas."""
+        named, _ = self.trip(text)
+        return [int(i) for i in named.split(",") if i], named
 
     def decode(self, ids: list[int]) -> bytes:
         return self.decoder.text(ids).encode("utf-8", "surrogatepass")
