@@ -1,11 +1,12 @@
-r"""Near copies by word shingles: minwise bands find candidates, the exact Jaccard similarity decides.
+r"""Near copies by word shingles: SimHash fingerprints in a trie and minwise bands find candidates, the exact Jaccard similarity decides.
 
-A text is the set of its 64-bit shingle hashes (``SHINGLE`` words, ASCII lower case). Equal sets are one node. ``BANDS`` keys of ``ROWS``
-minwise values each deal out the nodes; nodes that share a key are candidates. At a similarity of 0.8 a pair shares no key with
-probability (1 - 0.8^5)^24 = 7e-5, and less above it. Candidates' connected groups are met by their texts once, in one task for each group:
-pairs that share a key and aren't linked yet are compared exactly, so a group of many near copies takes about as many
-comparisons as it has texts. A fingerprint of bits can't serve here: pairs at 0.8 differ in ten bits of 64 or so, and blocks for so
-many bits are too short to keep groups small.
+A text is the set of its 64-bit shingle hashes (``SHINGLE`` words, ASCII lower case). Equal sets are one node. The set's SimHash fingerprint goes
+through the trie self-join of ``simhash.group_links``; nodes of a star within its budget are candidates. Pairs at 0.8 differ in ten
+bits of 64 or so, and a trie over so wide a budget visits all pairs; so wider links come from ``BANDS`` keys of ``ROWS`` minwise values each:
+nodes that share a key are candidates, and a pair at a similarity of 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5. Of these
+candidates, pairs whose fingerprints differ in more than ``WIDE`` bits are left out at once (at 0.8, 10 of 64 bits are expected; over 28 is
+out of reach). Candidates' connected groups are met by their texts once, in one task for each group: pairs that share a key and aren't
+linked yet are compared exactly, so a group of many near copies takes about as many comparisons as it has texts.
 
 Defined results: components are those of all links (pairs of a similarity of at least ``SIMILARITY``). A text of fewer words than a
 shingle is one shingle, and texts without words (null also) are equal; rows with the same ``doc_id`` are one node; with ``doc_id`` null a
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import components, map_columns, materialize
+from loomspark.llm.simhash import group_links, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS, WIDE = 24, 5, 28
 AT_ONCE = 1024  # shingles whose minwise values are taken at once
 _DRAWN = np.random.default_rng(11)
 _WORD, _TIMES, _KEY = (_DRAWN.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (64, BANDS * ROWS, BANDS * ROWS))
@@ -61,6 +63,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return mixed(mixed(least * _KEY).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + band * _WORD[0])
 
 
+def bits(values: np.ndarray) -> int:
+    """The set's SimHash: each bit that over half of the hashes have."""
+    ones, n = np.zeros(64, np.int64), len(values)
+    for at in range(0, n, 8192):
+        ones += np.unpackbits(values[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Jaccard similarity of two sorted sets against the bound."""
     if min(len(a), len(b)) / max(len(a), len(b)) < similarity:
@@ -71,10 +81,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return met / (len(both) - met) >= similarity
 
 
-def links(sets: Iterator[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
-    """Links that join the nodes of a group of candidates into the components of all its links."""
+def links(sets: Iterator[tuple[int, np.ndarray, list[int]]], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the nodes of a group of candidates into the components of all its links. ``sets``: node, its set, keys beside its bands'."""
     root: dict[int, int] = {}
-    held: dict[int, dict[int, list[np.ndarray]]] = {}  # key: {component: sets}
+    held: dict[int, dict[int, list[tuple[np.ndarray, int]]]] = {}  # key: {component: sets and fingerprints}
     out = []
 
     def find(x: int) -> int:
@@ -83,19 +93,19 @@ def links(sets: Iterator[tuple[int, np.ndarray]], similarity: float) -> list[tup
             x = root[x]
         return x
 
-    for node, values in sets:
+    for node, values, more in sets:
         root.setdefault(node, node)
-        keys, tried = band_keys(values).tolist(), set()
+        keys, tried, print_ = band_keys(values).tolist() + more, set(), bits(values)
         for key in keys:
             bucket = held.setdefault(key, {})
             for other in list(bucket):
                 if find(other) == find(node):
                     continue
-                for s in bucket[other]:
+                for s, other_print in bucket[other]:
                     if id(s) in tried:
                         continue
                     tried.add(id(s))
-                    if alike(values, s, similarity):
+                    if (print_ ^ other_print).bit_count() <= WIDE and alike(values, s, similarity):
                         out.append((other, node))
                         root[find(node)] = find(other)
                         break
@@ -105,7 +115,7 @@ def links(sets: Iterator[tuple[int, np.ndarray]], similarity: float) -> list[tup
             own = bucket.pop(mine, [])
             for other in [x for x in bucket if find(x) == mine]:
                 own += bucket.pop(other)
-            bucket[mine] = [*own, values]
+            bucket[mine] = [*own, (values, print_)]
     return out
 
 
@@ -114,17 +124,23 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     def made(texts: list) -> list[list]:
         sets = [shingles(t, shingle) for t in texts]
-        return [[xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], [band_keys(s).view(np.int64) for s in sets]]
+        return [[xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], [signed(bits(s)) for s in sets], [band_keys(s).view(np.int64) for s in sets]]
 
-    prints = materialize(map_columns(docs, ["doc_id"], ["text"], {"digest": "long", "keys": "array<long>"}, made))
+    prints = materialize(map_columns(docs, ["doc_id"], ["text"], {"digest": "long", "fp": "long", "keys": "array<long>"}, made))
     known = prints.where("doc_id is not null")
-    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    groups = materialize(components(keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))))
-    texts = docs.select("doc_id", "text").join(groups.select(F.col("node").alias("doc_id"), "root"), "doc_id")
+    # the trie's stars, and nodes of equal fingerprints
+    by_print = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = nodes.select("fp", F.col("node").alias("a")).join(by_print.select("fp", F.col("node").alias("b")), "fp").where("a <> b").select("a", "b")
+    stars = materialize(group_links(by_print).unionByName(equal))
+    found = keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(stars)
+    groups = materialize(components(found))
+    more = stars.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("star")).groupBy("node").agg(F.collect_set("star").alias("more"))
+    texts = docs.select("doc_id", "text").join(groups.join(more, "node", "left").select(F.col("node").alias("doc_id"), "root", "more"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("root", "doc_id", "text").repartition(n, "root").sortWithinPartitions("root")
+    dealt = texts.select("root", "doc_id", "text", "more").repartition(n, "root").sortWithinPartitions("root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -134,12 +150,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for root, node, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for root, node, text, own in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if root != now and held:
                     yield told()
                     held = []
                 now = root
-                held.append((node, shingles(text, shingle)))
+                held.append((node, shingles(text, shingle), own or []))
         if held:
             yield told()
 
