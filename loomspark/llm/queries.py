@@ -75,36 +75,41 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(scanned, directories).withColumnRenamed("file_id", "doc_id")
 
 
-_TEMPLATES = ", ".join(f"({i}, '{name}', '{line}')" for i, (name, line) in enumerate(licenses.templates()))
+_TEMPLATES = ", ".join(f"({i}, '{name}', {len(line.split())}, '{line}')" for i, (name, line) in enumerate(licenses.templates()))
 OP4_SQL = f"""
 WITH files AS (
   SELECT doc_id, array_to_string(string_split(doc_id::VARCHAR, ''), '/') AS path, text FROM documents
+), pieces AS (
+  SELECT doc_id, list_transform(string_split(regexp_replace(lower(text), '{licenses.opening()}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda p: substr(p, 1, {licenses.REACH})) AS p
+  FROM files WHERE regexp_matches(lower(text), '{licenses.opening()}')
+), begun AS (
+  SELECT doc_id, regexp_extract_all(substr(array_to_string(list_slice(p, i, i + {licenses.PIECES - 1}), ''), 1, {licenses.REACH}), '{licenses.WORD}', 1) AS w
+  FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM pieces)
 ), lines AS (
-  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
-  WHERE regexp_matches(line, '(?i)licen[cs]e|copyright|spdx|released under')
+  SELECT doc_id, size, array_to_string(list_slice(w, 1, size), ' ') AS line FROM begun, (VALUES {", ".join(f"({n})" for n in licenses.lengths())}) AS sizes(size)
 ), distinct_lines AS (
-  SELECT line, count(*) AS n FROM lines GROUP BY line
-), templates(t, license, line) AS (VALUES {_TEMPLATES}
+  SELECT size, line, count(*) AS n FROM lines GROUP BY size, line
+), templates(t, license, size, line) AS (VALUES {_TEMPLATES}
 ), term AS (
-  SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '([a-z]+|[0-9]+(?:\\.[0-9]+)*)', 1)) AS term FROM distinct_lines) GROUP BY ALL
+  SELECT size, line, n, term, count(*) AS tf FROM (SELECT size, line, n, unnest(string_split(line, ' ')) AS term FROM distinct_lines) GROUP BY ALL
 ), template_term AS (
-  SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(line), '([a-z]+|[0-9]+(?:\\.[0-9]+)*)', 1)) AS term FROM templates) GROUP BY ALL
+  SELECT t, license, size, term, count(*) AS tf FROM (SELECT t, license, size, unnest(string_split(line, ' ')) AS term FROM templates) GROUP BY ALL
 ), df AS (
   SELECT term, sum(n) AS df FROM (SELECT term, n FROM term UNION ALL SELECT term, 1 FROM template_term) GROUP BY term
 ), idf AS (
   SELECT term, ln((1 + (SELECT coalesce(sum(n), 0) FROM distinct_lines) + {len(licenses.templates())}) / (1 + df)) + 1 AS idf FROM df
 ), w AS (
-  SELECT line, term, tf * idf AS w FROM term JOIN idf USING (term)
+  SELECT size, line, term, tf * idf AS w FROM term JOIN idf USING (term)
 ), tw AS (
-  SELECT t, license, term, tf * idf AS tw FROM template_term JOIN idf USING (term)
+  SELECT t, license, size, term, tf * idf AS tw FROM template_term JOIN idf USING (term)
 ), cosine AS (
-  SELECT line, license, round(sum(w * tw) / (any_value(norm) * any_value(tnorm)), 6) AS score
-  FROM w JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line) USING (line)
-  JOIN (SELECT t, sqrt(sum(tw * tw)) AS tnorm FROM tw GROUP BY t) USING (t) GROUP BY line, t, license
+  SELECT size, line, license, round(sum(w * tw) / (any_value(norm) * any_value(tnorm)), 6) AS score
+  FROM w JOIN tw USING (size, term) JOIN (SELECT size, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY size, line) USING (size, line)
+  JOIN (SELECT t, sqrt(sum(tw * tw)) AS tnorm FROM tw GROUP BY t) USING (t) GROUP BY size, line, t, license
 ), best AS (
-  SELECT line, license, score FROM cosine WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+  SELECT size, line, license, score FROM cosine WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY size, line ORDER BY score DESC, license) = 1
 ), own AS (
-  SELECT doc_id, license, score FROM lines JOIN best USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+  SELECT doc_id, license, score FROM lines JOIN best USING (size, line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, size DESC, license) = 1
 ), scanned AS (
   SELECT f.doc_id, f.path, own.license AS own_license, own.score AS own_score FROM files f LEFT JOIN own USING (doc_id)
 ), near AS (
