@@ -10,8 +10,8 @@ All suffixes of a corpus are far more than what is worth sorting, so the sort is
 3. Of these, the suffix that starts at the anchor is sorted by a merge sort over tasks: each task sorts its own and writes
    front-coded runs (length of the prefix common with the string before, and the rest). Runs are cut at splitters from a sample
    of fixed size and exchanged; a loser tree that keeps, for each run, how much its head has in common with the last winner
-   merges them, and compares bytes only beyond what is known to be common. Neighbours that share the anchor's gram form a group; each
-   window of the group's stretches that also stands earlier is removed.
+   merges them, and compares bytes only beyond what is known to be common. What is removed is read off the merged order: where neighbours share
+   the anchor's gram, the least prefix shared between two of them and the bytes before their anchors say which windows they have in common.
 
 Removed stretches meet their texts again by ``doc_id``; the mask of a text is their union.
 
@@ -39,6 +39,7 @@ WIDTH, GRAM = 100, 40
 PIECE = 1 << 20  # bytes that are hashed at once
 SAMPLE = 4096  # strings from which splitters are taken
 PAGE = 8192  # strings in a front-coded run
+SMALL_GROUP = 12  # suffixes of one gram of which each two are met
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,14 +197,16 @@ def dealt(found: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
+        most = 200_000
         for b in batches:
             for name in b.schema.names:
                 held.setdefault(name, []).append(b.column(name).to_numpy(zero_copy_only=False))
-            if sum(map(len, held["key"])) >= 200_000:
+            if sum(map(len, held["key"])) >= most:
                 whole = {k: np.concatenate(v) for k, v in held.items()}
                 cut = int(np.searchsorted(whole["key"], whole["key"][-1]))  # the last key may go on
                 yield from decide({k: v[:cut] for k, v in whole.items()})
                 held = {k: [v[cut:]] for k, v in whole.items()}
+                most = max(200_000, 2 * len(held["key"][0]))  # a key of many rows is put together few times
         if held:
             yield from decide({k: np.concatenate(v) for k, v in held.items()})
 
@@ -325,27 +328,50 @@ class LoserTree:
             self.top = x
 
 
-def repeated(group: list[tuple[bytes, bytes, int, int]], width: int) -> Iterator[tuple[int, int, int]]:
-    """Ranges of the windows of a group that also stand earlier. Large groups go in several passes over parts of the windows, so memory stays bounded."""
-    digest = xxhash.xxh3_128_intdigest
-    passes = 1 + len(group) // 50_000
-    for turn in range(passes):
-        best: dict[int, tuple[int, int]] = {}
-        seen: list[tuple[int, int, int]] = []
-        for suffix, before, doc, start in group:
-            text = before + suffix
-            for j in range(len(text) - width + 1):
-                k = digest(text[j : j + width])
-                if passes > 1 and k % passes != turn:
+def order_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of some strings, and what each shares with the one before it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    shared = [0, *(common(strings[x], strings[y], 0) for x, y in zip(order, order[1:]))]
+    return np.array(order), np.array(shared)
+
+
+def repeated(group: list[tuple[bytes, bytes, int, int]], shared: list[int], width: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of the windows of a group that also stand earlier, read off its merged order.
+
+    ``shared[i]`` is the prefix that suffix ``i`` has in common with the one before. A window that begins ``b`` bytes before the
+    anchor stands at two strings if the least of the shared prefixes between them is at least ``width - b`` and the bytes before their
+    anchors agree for ``b``. In a small group each two strings are met; in a large one, for each ``b``, runs of suffixes and runs of the
+    reversed bytes before them name the window, and all but the earliest of each name go.
+    """
+    place = [(doc, start + len(before)) for _, before, doc, start in group]
+    if len(group) <= SMALL_GROUP:
+        for i in range(len(group)):
+            least = width + len(group[i][0])
+            for j in range(i + 1, len(group)):
+                least = min(least, shared[j])
+                if place[i] == place[j]:
                     continue
-                here = (doc, start + j)
-                seen.append((k, *here))
-                old = best.get(k)
-                if old is None or here < old:
-                    best[k] = here
-        for k, doc, at in seen:
-            if best[k] != (doc, at):
-                yield doc, at, at + width
+                x, y = group[i][1], group[j][1]
+                back = common(x[::-1], y[::-1], 0)
+                if width - least <= back:
+                    doc, at = max(place[i], place[j])
+                    yield doc, at - back, at + max(least, width - back)
+        return
+    rank = np.empty(len(group), np.int64)
+    rank[sorted(range(len(group)), key=place.__getitem__)] = np.arange(len(group))
+    doc, at = np.array(place).T
+    size, off = np.array([len(g[0]) for g in group]), np.array([len(g[1]) for g in group])
+    ahead, (order, behind) = np.array(shared), order_of([g[1][::-1] for g in group])
+    for b in range(int(off.max()) + 1):
+        own = np.flatnonzero((off >= b) & (size >= width - b))
+        name = np.empty(len(group), np.int64)
+        name[order] = np.cumsum(behind < b) if b else 0
+        name = (np.cumsum(ahead < width - b) * (len(group) + 1) + name)[own]
+        by = own[np.lexsort((rank[own], name))]
+        name = np.sort(name)
+        first = np.concatenate([[True], name[1:] != name[:-1]]) if len(by) else np.zeros(0, bool)
+        for k in by[~first & ~itself(first, doc[by], at[by])].tolist():
+            yield int(doc[k]), int(at[k]) - b, int(at[k]) - b + width
 
 
 def edges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -371,14 +397,16 @@ def edges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     def merge(t: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         group: list[tuple] = []
+        shared: list[int] = []
         for h, s in LoserTree([decoded(r) for r in t.to_pylist()]):
             if h < gram:
                 if len(group) > 1:
-                    out += repeated(group, width)
-                group = []
+                    out += repeated(group, shared, width)
+                group, shared = [], []
             group.append(s)
+            shared.append(h)
         if len(group) > 1:
-            out += repeated(group, width)
+            out += repeated(group, shared, width)
         d, a, z = merged(*np.array(out, np.int64).reshape(-1, 3).T)
         return pa.table({"doc_id": d, "start": a, "stop": z})
 
