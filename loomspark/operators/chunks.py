@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -15,6 +18,90 @@ def frontmatter(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("head", F.when(has, head)).withColumn("body", F.when(has, F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---(?:\r?\n|\z)", "")).otherwise(F.col(text)))
 
 
+#: How the top folders and the areas are named in a chunk's breadcrumb. The default area has no name.
+FOLDER_LABELS = {"flows": "Akış", "modules": "Modül", "usecases": "Use case kartı", "genel": "Genel", "api": "API işlemi", "ekranlar": "Ekran"}
+AREA_LABELS = {"backend": None, "frontend": "Frontend", "mac-motoru": "Maç motoru"}
+#: The one section of a use-case card that is embedded, and what stands for an empty heading path.
+CARD_SECTION, NO_HEADING, ALIASES, GAP = "Ne yapar", "giriş", "Eş anlamlılar: ", " › "
+
+
+def front_json(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """YAML heads as JSON objects; what is no YAML or no mapping gives an error text instead. Needs PyYAML where the workers run."""
+    import json
+
+    import yaml
+
+    def one(head: str | None) -> tuple[str, str | None]:
+        try:
+            meta = yaml.safe_load(head) if head else {}
+        except yaml.YAMLError as e:
+            return "{}", f"frontmatter: {str(e).splitlines()[0]}"
+        if meta is None:
+            return "{}", None
+        if not isinstance(meta, dict):
+            return "{}", "frontmatter: not a mapping"
+        return json.dumps(meta, ensure_ascii=False, default=str), None
+
+    for s in heads:
+        yield pd.DataFrame([one(h) for h in s], columns=["meta", "error"])
+
+
+def parsed(df: DataFrame, mode: str = "permissive", text: str = "text") -> DataFrame:
+    """``df`` with ``meta`` (JSON), ``body`` and ``_error``.
+
+    A document with a broken head keeps its whole text as body and has an empty ``meta``; with mode ``failfast`` it fails the job.
+    """
+    read = F.pandas_udf(front_json, "meta string, error string")
+    rows = frontmatter(df, text).withColumn("_f", read("head"))
+    rows = rows.withColumns({"meta": F.col("_f.meta"), "_error": F.col("_f.error"), "body": F.when(F.col("_f.error").isNull(), F.col("body")).otherwise(F.col(text))}).drop("_f", "head")
+    if mode == "failfast":
+        rows = rows.withColumn("meta", F.when(F.col("_error").isNotNull(), F.raise_error("_error")).otherwise(F.col("meta")))
+    return rows
+
+
+def _field(name: str) -> Column:
+    return F.get_json_object("meta", f"$.{name}")
+
+
+def doc_columns(docs: DataFrame) -> DataFrame:
+    """``docs`` (path, meta) with title, kind, aliases, module and status.
+
+    The title is the head's, else its name, else the file's; the kind is 'usecase' below usecases, else the head's type, else the top folder.
+    """
+    top = F.substring_index("path", "/", 1)
+    kind = F.when(top == "usecases", F.lit("usecase")).otherwise(F.coalesce(_field("type"), top))
+    title = F.coalesce(_field("title"), _field("name"), T.basename(F.col("path"), ".md"))
+    return docs.withColumns({"title": title, "kind": kind, "aliases": T.string_list(_field("aliases")), "module": _field("module"), "status": _field("status")})
+
+
+def embed_text(piece: Column, label: str | None = None) -> Column:
+    """Breadcrumb, aliases and the piece; parts that are empty are left out."""
+    top = F.substring_index("path", "/", 1)
+    folder = F.coalesce(F.create_map(*(F.lit(x) for kv in FOLDER_LABELS.items() for x in kv))[top], top)
+    module = F.when(F.coalesce("module", F.lit("")) != "", F.concat(F.lit(" ("), F.col("module"), F.lit(")"))).otherwise("")
+    place = F.concat(F.lit(f"{label} · " if label else ""), folder, module)
+    crumb = F.concat_ws(GAP, place, F.nullif("title", F.lit("")), F.nullif("headings", F.lit("")))
+    named = F.when(F.size("aliases") > 0, F.concat(F.lit(ALIASES), F.array_join("aliases", ", ")))
+    return F.concat_ws("\n", crumb, named, piece)
+
+
+def build_chunks(docs: DataFrame, label: str | None = None, most: int = T.MAX_PIECE) -> DataFrame:
+    """(id, hash, path, kind, title, module, status, aliases, headings, part, text, embed_text) of documents (path, meta, body).
+
+    The id is the path, the heading path and, where a section is split, the number of the piece. The text is the piece where a section
+    is split, else the section as it is written. Of a use-case card, only the section that says what it does counts, in its written part.
+    """
+    rows = doc_columns(docs).withColumn("body", F.when(F.substring_index("path", "/", 1) == "usecases", F.btrim(T.manual_part(F.col("body")), F.lit(" \n\t\r"))).otherwise(F.col("body")))
+    cut = sections(rows.select("path", "body")).withColumn("headings", F.concat_ws(GAP, F.nullif("h2", F.lit("")), F.nullif("h3", F.lit(""))))
+    own = cut.join(rows.select("path", "kind", "title", "module", "status", "aliases"), "path").where((F.col("kind") != "usecase") | (F.col("h2") == CARD_SECTION))
+    plain = T.strip_blocks(F.col("text"))
+    pieces = F.when(F.length(plain) <= most, F.array(plain)).otherwise(F.transform(T.pack(plain, most, tables=True), lambda x: F.btrim(x, F.lit(" \n\t\r"))))
+    split = own.withColumn("pieces", pieces).withColumn("n", F.size("pieces")).select("*", F.posexplode("pieces").alias("part", "piece")).where("piece <> ''")
+    ident = F.concat("path", F.lit("#"), F.coalesce(F.nullif("headings", F.lit("")), F.lit(NO_HEADING)), F.when(F.col("n") > 1, F.concat(F.lit("#"), (F.col("part") + 1).cast("string"))).otherwise(""))
+    made = split.withColumns({"id": ident, "embed_text": embed_text(F.col("piece"), label), "shown": F.when(F.col("n") > 1, F.col("piece")).otherwise(F.col("text"))})
+    return made.select("id", T.sha(F.col("embed_text")).alias("hash"), "path", "kind", "title", "module", "status", "aliases", "headings", F.col("part").cast("int").alias("part"), F.col("shown").alias("text"), "embed_text")
+
+
 def sections(df: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
     """(key, section, h2, h3, text): a heading of one to three # opens a section, not inside a fence; sections without text are dropped.
 

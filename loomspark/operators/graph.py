@@ -35,6 +35,17 @@ def pairs_reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _walk(edges, roots.select(F.col("node").alias("root"), "node"), ["root", "node"])
 
 
+def roots_reaching(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the roots (node, layout) that reach each node; layouts only where nothing else does.
+
+    The walk starts at the nodes and goes against the edges, so it costs what lies above them.
+    """
+    back = pairs_reachable(reverse(edges), nodes).select(F.col("root").alias("node"), F.col("node").alias("root"))
+    found = back.join(roots.select(F.col("node").alias("root"), "layout"), "root")
+    best = found.groupBy("node").agg(F.min("layout").alias("layout"))
+    return found.join(best, ["node", "layout"]).select("node", "root")
+
+
 def closure(edges: DataFrame, root: DataFrame, stops: DataFrame) -> DataFrame:
     """What a root reaches without entering other roots (``stops``)."""
     open_ = edges.join(stops.select(F.col("node").alias("dst")), "dst", "left_anti")

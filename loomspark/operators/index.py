@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
+
 BATCH = 64
 
 
@@ -49,34 +51,75 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """(key, vec): a user's function on batches of 64 texts."""
+def term_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """(key, vec): a bag of words by built-in functions: each term counts in the bucket that its MD5 picks. Texts without terms have no row."""
+    terms = df.select(F.col(key).alias("key"), F.explode(T.all_terms(F.col(text))).alias("term"))
+    bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    counts = terms.groupBy("key", bucket.alias("b")).agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    return counts.select("key", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+def embed(df: DataFrame, key: str, text: str, embedder: Callable, input_type: str | None = None) -> DataFrame:
+    """(key, vec, tokens): a user's function on batches of 64 texts, in their order.
+
+    With ``input_type`` ('document' or 'query') the function gets it as second argument. It returns the vectors, or the vectors and the number of
+    tokens of each text; else ``tokens`` is null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), BATCH):
                 part = pdf.iloc[i : i + BATCH]
-                yield pd.DataFrame({"key": part[key], "vec": list(np.asarray(embedder(part[text].tolist()), np.float64))})
+                texts = part[text].tolist()
+                made = embedder(texts) if input_type is None else embedder(texts, input_type)
+                vecs, tokens = made if isinstance(made, tuple) else (made, None)
+                yield pd.DataFrame({"key": part[key], "vec": list(np.asarray(vecs, np.float64)), "tokens": pd.Series(tokens if tokens is not None else [None] * len(part), index=part.index, dtype="Int64")})
+
+    return df.select(key, text).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, vec array<double>, tokens long")
+
+
+def embed_questions(questions: DataFrame, embedder: Callable, known: DataFrame | None = None, input_type: str | None = None) -> DataFrame:
+    """(qid, vec) of questions (qid, text): a text that is asked again, or whose hash is known (key, vec), is not embedded again."""
+    asked = questions.select("qid", "text", T.sha(F.col("text")).alias("key"))
+    todo = asked.groupBy("key").agg(F.first("text").alias("text"))
+    if known is not None:
+        todo = todo.join(known.select("key"), "key", "left_anti")
+    made = embed(todo, "key", "text", embedder, input_type).select("key", "vec")
+    return asked.join(made if known is None else made.unionByName(known.select("key", "vec")), "key").select("qid", "vec")
+
 
-    return df.select(key, text).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, vec array<double>")
+#: Raised when the layout of the state folder changes, which forces a pass.
+SCHEMA = "2"
 
 
-def sync(current: DataFrame, state: str, embedder: Callable[[list[str]], np.ndarray], commit: str) -> dict[str, int]:
+def sync(current: DataFrame, state: str, embedder: Callable, commit: str, model: str = "", dimension: int = 0, docs: DataFrame | None = None) -> dict[str, int]:
     """One idempotent step over a state folder: embeds missing hashes, replaces the ledger, drops dead vectors, and moves the stamp last.
 
-    ``current``: (id, hash, embed_text). Each step writes a new version; the stamp names the one that is valid.
+    ``current``: (id, hash, embed_text). Each step writes a new version; the stamp names the one that is valid. Another model or dimension
+    than the stamp's makes everything anew (``rebuilt``). Vectors stay if only the ledger is lost. With ``docs`` (path, hash, ...) the full documents
+    are stored too, and counted as ``docs_written`` and ``docs_removed``.
     """
     spark = current.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
     exists = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/stamp"))
-    version = spark.read.json(f"{state}/stamp").orderBy(F.desc("version")).first().version if exists else 0
+    shape = "version long, commit string, schema string, model string, dimension long"
+    stamp = spark.read.schema(shape).json(f"{state}/stamp").orderBy(F.desc("version")).first() if exists else None
+    version = stamp.version if exists else 0
+    rebuilt = bool(exists and ((stamp.model or ""), (stamp.dimension or 0)) != (model, dimension))
     empty_ledger, empty_store = spark.createDataFrame([], "id string, hash string"), spark.createDataFrame([], "key string, vec array<double>")
-    ledger = spark.read.parquet(f"{state}/ledger/v={version}") if exists else empty_ledger
-    store = spark.read.parquet(f"{state}/store/v={version}") if exists else empty_store
+    has = lambda name: exists and not rebuilt and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{name}/v={version}"))
+    ledger = spark.read.parquet(f"{state}/ledger/v={version}") if has("ledger") else empty_ledger
+    store = spark.read.parquet(f"{state}/store/v={version}") if has("store") else empty_store
     counts = {r.state: r.n for r in diff(current, ledger).groupBy("state").agg(F.count("*").alias("n")).collect()}
     todo = missing(current, store).join(current.select("hash", "embed_text").dropDuplicates(["hash"]), "hash")
-    made = embed(todo, "hash", "embed_text", embedder)
+    made = embed(todo, "hash", "embed_text", embedder).select("key", "vec")
     retain(store, current).unionByName(made).write.mode("overwrite").parquet(f"{state}/store/v={version + 1}")
     current.select("id", "hash").write.mode("overwrite").parquet(f"{state}/ledger/v={version + 1}")
-    spark.createDataFrame([(version + 1, commit)], "version long, commit string").write.mode("append").json(f"{state}/stamp")
-    return {k: counts.get(k, 0) for k in ("added", "changed", "removed", "same")}
+    out = {k: counts.get(k, 0) for k in ("added", "changed", "removed", "same")}
+    if docs is not None:
+        known = spark.read.parquet(f"{state}/docs/v={version}").select("path", "hash") if has("docs") else spark.createDataFrame([], "path string, hash string")
+        states = {r.state: r.n for r in diff(docs, known, "path").groupBy("state").agg(F.count("*").alias("n")).collect()}
+        docs.write.mode("overwrite").parquet(f"{state}/docs/v={version + 1}")
+        out |= {"docs_written": states.get("added", 0) + states.get("changed", 0), "docs_removed": states.get("removed", 0)}
+    spark.createDataFrame([(version + 1, commit, SCHEMA, model, dimension)], shape).write.mode("append").json(f"{state}/stamp")
+    return out | ({"rebuilt": 1} if rebuilt else {})

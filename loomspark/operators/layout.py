@@ -61,8 +61,14 @@ def update(vectors: DataFrame, target: str, stamp: str) -> DataFrame:
 
 
 def compact(points: DataFrame) -> DataFrame:
-    """(point): one array of key and rounded coordinates for each point."""
-    return points.select(F.array(F.col("key").cast("string"), *(F.round(a, 4).cast("string") for a in "xyz")).alias("point"))
+    """(point): one array of key, rounded coordinates and, where there are such columns, area and label of each point."""
+    more = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("area", "label") if c in points.columns]
+    return points.select(F.array(F.col("key").cast("string"), *(F.round(a, 4).cast("string") for a in "xyz"), *more).alias("point"))
+
+
+def area_counts(points: DataFrame, by_module: bool = False) -> DataFrame:
+    """Chunks of each area, or of each of its modules."""
+    return points.groupBy("area", *(["module"] if by_module else [])).agg(F.count("*").alias("n"))
 
 
 def focus(points: DataFrame, hits: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIND, FIND_MOST, AGGREGATE_MOST, ARRAY_MOST, TEXT_MOST = 20, 100, 200, 60, 60_000
+SAMPLE, SAMPLE_MOST, DEPTH = 20, 50, 3
 
 
 class QueryRefused(ValueError):
@@ -55,28 +57,94 @@ class Policy:
         names = [c for c in df.columns if (allowed is None or c in allowed) and (not wanted or c in {w.split(".")[0] for w in wanted})]
         return df.select(*(names or [self.key]))
 
+    def visible(self, df: DataFrame) -> DataFrame:
+        """``df`` without denied names at any depth; what filters, sorts, groups and joins may name."""
+
+        def clean(col: Column, kind: T.DataType) -> Column:
+            if isinstance(kind, T.StructType):
+                return F.when(col.isNotNull(), F.struct(*(clean(col[f.name], f.dataType).alias(f.name) for f in kind if not self._re.search(f.name))))
+            if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+                return F.transform(col, lambda x: clean(x, kind.elementType))
+            return col
+
+        return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not self._re.search(f.name)))
+
+    def _refused(self, made):
+        """Names that are denied aren't there any more; a query that needs one is refused."""
+        try:
+            return made()
+        except AnalysisException as e:
+            raise QueryRefused(str(e).splitlines()[0]) from e
+
     def find(self, df: DataFrame, table: str, where: Column | None = None, wanted: list[str] | None = None, sort: list | None = None, limit: int = FIND, skip: int = 0) -> DataFrame:
         self.check(*(wanted or []))
-        rows = df if where is None else df.where(where)
-        rows = rows.orderBy(*sort) if sort else rows
-        return self.project(rows.offset(max(0, skip)).limit(min(max(1, limit), FIND_MOST)), table, wanted)
+
+        def made() -> DataFrame:
+            rows = self.visible(df)
+            rows = rows if where is None else rows.where(where)
+            rows = rows.orderBy(*sort) if sort else rows
+            return self.project(rows.offset(max(0, skip)).limit(min(max(1, limit), FIND_MOST)), table, wanted)
+
+        return self._refused(made)
+
+    def count(self, df: DataFrame, where: Column | None = None) -> DataFrame:
+        """(n): rows of the table for which ``where`` holds."""
+        rows = self.visible(df)
+        return self._refused(lambda: (rows if where is None else rows.where(where)).agg(F.count("*").alias("n")))
 
     def aggregate(self, df: DataFrame, table: str, keys: list, aggs: list[Column]) -> DataFrame:
         """Allowed columns first, then the groups, 200 at most."""
-        return self.project(df, table).groupBy(*keys).agg(*aggs).orderBy(*keys).limit(AGGREGATE_MOST)
+        rows = self.project(self.visible(df), table)
+        return self._refused(lambda: rows.groupBy(*keys).agg(*aggs).orderBy(*keys).limit(AGGREGATE_MOST))
+
+    def sample(self, df: DataFrame, n: int = SAMPLE, seed: int | None = None) -> DataFrame:
+        """``n`` random rows, 50 at most; each task hands on its own ``n``."""
+        return self.visible(df).orderBy(F.rand(seed)).limit(min(max(1, n), SAMPLE_MOST))
+
+    def _joinable(self, table: str) -> None:
+        if table not in self.tables or self.tables[table].joinable is False:
+            raise QueryRefused(f"{table} can't be joined")
+
+    def union(self, left: DataFrame, right: DataFrame, table: str) -> DataFrame:
+        """The rows of both; columns that one lacks are null there."""
+        self._joinable(table)
+        return left.unionByName(self.visible(right), allowMissingColumns=True)
+
+    def normalize_ids(self, df: DataFrame) -> DataFrame:
+        """Ids of 24 hex digits in one form, so that plain equality finds them whether they were stored as bytes or as text.
+
+        Ids are ``_id`` and columns whose name ends in Id, at the top or in structs.
+        """
+
+        def clean(name: str, col: Column, kind: T.DataType) -> Column:
+            if isinstance(kind, T.StructType):
+                return F.when(col.isNotNull(), F.struct(*(clean(f.name, col[f.name], f.dataType).alias(f.name) for f in kind)))
+            if name != "_id" and not name.endswith("Id"):
+                return col
+            if isinstance(kind, T.BinaryType):
+                return F.lower(F.hex(col))
+            return F.when(col.rlike("^[0-9a-fA-F]{24}$"), F.lower(col)).otherwise(col) if isinstance(kind, T.StringType) else col
+
+        return df.select(*(clean(f.name, F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
 
     def join(self, left: DataFrame, right: DataFrame, table: str, on) -> DataFrame:
         """Refuses tables marked as not joinable; those without the mark may be joined."""
-        if self.tables[table].joinable is False:
-            raise QueryRefused(f"{table} can't be joined")
-        return left.join(right, on)
+        self._joinable(table)
+        return left.join(self.visible(right), on)
 
     def redact(self, df: DataFrame, table: str | None = None) -> DataFrame:
         """Drops denied names at any depth and cuts arrays to 60, with the number cut in ``<column>_more``."""
 
         def clean(col: Column, kind: T.DataType) -> Column:
             if isinstance(kind, T.StructType):
-                return F.when(col.isNotNull(), F.struct(*(clean(col[f.name], f.dataType).alias(f.name) for f in kind if not self._re.search(f.name))))
+                parts = []
+                for f in kind:
+                    if self._re.search(f.name):
+                        continue
+                    parts.append(clean(col[f.name], f.dataType).alias(f.name))
+                    if isinstance(f.dataType, T.ArrayType):
+                        parts.append(F.greatest(F.size(col[f.name]) - ARRAY_MOST, F.lit(0)).alias(f"{f.name}_more"))
+                return F.when(col.isNotNull(), F.struct(*parts))
             if isinstance(kind, T.ArrayType):
                 cut = F.slice(col, 1, ARRAY_MOST)
                 return F.transform(cut, lambda x: clean(x, kind.elementType)) if isinstance(kind.elementType, (T.StructType, T.ArrayType)) else cut
@@ -92,19 +160,23 @@ class Policy:
                 out.append(F.greatest(F.size(f.name) - ARRAY_MOST, F.lit(0)).alias(f"{f.name}_more"))
         return df.select(*out)
 
-    def fields(self, df: DataFrame, sample: int = 20, depth: int = 3) -> DataFrame:
-        """(path, types) of a sample's fields to a depth of three; arrays by their elements."""
-        found: list[tuple[str, str]] = []
-
-        def walk(prefix: str, kind: T.DataType, d: int) -> None:
-            if isinstance(kind, T.ArrayType):
-                walk(prefix, kind.elementType, d)
-            elif isinstance(kind, T.StructType) and d < depth:
+    def fields(self, df: DataFrame, sample: int = SAMPLE, depth: int = DEPTH, seed: int | None = None) -> DataFrame:
+        """(path, types): what a sample's fields hold, to a depth of three; arrays by their first element, as ``path[]``."""
+        rows = self.sample(df, sample, seed)
+        found: list[tuple[str, str, Column]] = []
+
+        def walk(path: str, col: Column | None, kind: T.DataType, d: int) -> None:
+            if path:
+                found.append((path, "array" if isinstance(kind, T.ArrayType) else "object" if isinstance(kind, T.StructType) else kind.simpleString(), col))
+            if d >= depth:
+                return
+            if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+                walk(f"{path}[]", F.get(col, F.lit(0)), kind.elementType, d + 1)
+            elif isinstance(kind, T.StructType):
                 for f in kind:
-                    if not self._re.search(f.name):
-                        walk(f"{prefix}.{f.name}" if prefix else f.name, f.dataType, d + 1)
-            else:
-                found.append((prefix, kind.simpleString()))
+                    own = F.col(f"`{f.name}`") if col is None else col[f.name]
+                    walk(f"{path}.{f.name}" if path else f.name, own, f.dataType, d + 1)
 
-        walk("", df.schema, 0)
-        return df.sparkSession.createDataFrame(found, "path string, type string")
+        walk("", None, rows.schema, 0)
+        seen = [F.struct(F.lit(p).alias("path"), F.array_compact(F.array(F.max(F.when(c.isNotNull(), F.lit(kind))), F.max(F.when(c.isNull(), F.lit("null"))))).alias("types")) for p, kind, c in found]
+        return rows.agg(F.array(*seen).alias("s")).select(F.explode("s").alias("s")).select("s.*")

@@ -17,22 +17,56 @@ def unique_ids(chunks: DataFrame) -> DataFrame:
     return _found(twice, "unique-id", "retryable", F.col("id"), F.concat(F.lit("chunk id occurs "), F.col("n").cast("string"), F.lit(" times")))
 
 
+def leftover_diagrams(chunks: DataFrame) -> DataFrame:
+    """Chunks (id, embed_text) that still hold a diagram."""
+    return _found(chunks.where(F.col("embed_text").contains("```mermaid")), "diagram", "retryable", F.col("id"), F.lit("diagram in the embedded text"))
+
+
+def aliases_are_lists(docs: DataFrame) -> DataFrame:
+    """Documents (path, meta) whose aliases are there but no list."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("meta"), "$.aliases", "variant"))
+    return _found(docs.where(kind.isNotNull() & (kind != "VOID") & ~kind.startswith("ARRAY")), "aliases", "retryable", F.col("path"), F.lit("aliases must be a list"))
+
+
+def scope(changes: DataFrame, area: str, managed: tuple[str, ...] = ("README.md",)) -> DataFrame:
+    """Changes (status, path) that may not be made: outside the area, no markdown, documents that others manage, and deletions."""
+    inside = F.col("path").startswith(f"{area}/") & F.col("path").endswith(".md")
+    own = F.col("path").isin(*(f"{area}/{m}" for m in managed))
+    why = F.when(F.col("status") == "D", "deleted: mark it as removed instead").when(~inside, "file that may not be changed").when(own, "document that is managed elsewhere")
+    return _found(changes.withColumn("why", why).where("why is not null"), "scope", "fatal", F.col("path"), F.col("why"))
+
+
 def vocabulary(docs: DataFrame, allowed: list[str]) -> DataFrame:
-    return _found(docs.where(~F.coalesce(F.col("status").isin(allowed), F.lit(False))), "status", "retryable", F.col("path"), F.concat(F.lit("status: "), F.coalesce("status", F.lit("none"))))
+    """Documents with a status that is not allowed; one without a status passes."""
+    return _found(docs.where(~F.col("status").isin(allowed)), "status", "retryable", F.col("path"), F.concat(F.lit("status: "), "status"))
 
 
 def broken_links(links: DataFrame, targets: DataFrame) -> DataFrame:
     """links: (path, link), targets: (target). Links are resolved against their document's folder."""
     base = T.dirname(F.col("path"))
     full = F.when(F.col("link").startswith("/"), F.substring("link", 2, 1 << 30)).otherwise(F.concat_ws("/", F.nullif(base, F.lit("")), "link"))
-    resolved = links.select("path", "link", F.regexp_replace(F.regexp_replace(full, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "").alias("target"))
+    parts = F.filter(F.split(full, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda s, p: F.when((p == "..") & (F.size(s) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("")), s), -1), F.lit("")) != ".."), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(F.array_append(s, p))
+    resolved = links.select("path", "link", F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/").alias("target"))
     return _found(resolved.join(targets, "target", "left_anti"), "broken-link", "retryable", F.col("path"), F.col("link"))
 
 
 def dangling(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """Sources that do not exist; removed documents are left out."""
-    named = docs.where("status is null or status <> 'kaldırıldı'").select("path", F.explode("sources").alias("file"))
-    return _found(named.join(files.select("file"), "file", "left_anti"), "dangling", "retryable", F.col("path"), F.col("file"))
+    """``sources`` and ``models`` that are not among the files (file); removed documents are left out."""
+    live = docs.where("status is null or status <> 'kaldırıldı'")
+    return _dangling(live, files, [c for c in ("sources", "models") if c in docs.columns])
+
+
+def dangling_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``related``, ``api``, ``metrics`` and ``backend`` that are not among the known documents (file), removed or not."""
+    return _dangling(docs, known, [c for c in ("related", "api", "metrics", "backend") if c in docs.columns])
+
+
+def _dangling(docs: DataFrame, files: DataFrame, columns: list[str]) -> DataFrame:
+    lists = F.flatten(F.array(*(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("kind"), x.alias("file"))) for c in columns)))
+    named = docs.select("path", F.explode(lists).alias("x")).select("path", "x.kind", "x.file")
+    gone = named.join(files.select("file").distinct(), "file", "left_anti")
+    return _found(gone, "dangling", "retryable", F.col("path"), F.concat_ws(": ", "kind", "file"))
 
 
 def todo(docs: DataFrame, marker: str = "TODO") -> DataFrame:
@@ -57,6 +91,16 @@ def run(rules: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def live_links(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (path, ...) of documents that are not removed; a document without a status stays."""
+    return links.join(docs.where(F.col("status").eqNullSafe(F.lit("kaldırıldı"))).select("path"), "path", "left_anti")
+
+
+def document_links(docs: DataFrame) -> DataFrame:
+    """(path, link): every relative link of each document (path, text)."""
+    return docs.select("path", F.explode(T.links(F.col("text"))).alias("link"))
+
+
 def folder_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.count("*").alias("n"))
 

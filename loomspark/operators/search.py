@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as T
 
 K1, B = 1.2, 0.75
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+QUERY_BLOCK, VECTOR_BLOCK, SAMPLE = 4096, 8192, 20_000
 FIELD_WEIGHTS = {"title": 3, "aliases": 2, "headings": 2, "content": 1}
 
 
@@ -118,6 +118,91 @@ def doc_ranking(hits: DataFrame, doc: str = "path") -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("best")) - 1).select("qid", doc, "rank")
 
 
+def multi_area(hits: DataFrame, limit: int = 8) -> DataFrame:
+    """The best of all areas' hits (area, qid, key, score, rank) for each question: by score, then by area and rank. An area without an index has no hits."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "area", "rank"))
+    return hits.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def with_stamps(hits: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Hits with the commit that their area's index was made from (area, commit), in eight characters."""
+    return hits.join(stamps.select("area", F.substring("commit", 1, 8).alias("commit")), "area", "left")
+
+
+def ann(vectors: DataFrame, queries: DataFrame, k: int = 30, cells: int | None = None, probes: int = 16, seed: int = 7) -> DataFrame:
+    """``knn`` by cells: (qid, key, score, rank) among the vectors of the ``probes`` cells that are nearest to each query.
+
+    Cells are those of k-means over a sample, about the square root of the number of vectors; each vector is in one cell, so it moves
+    once, and large cells are dealt out by hash. All vectors are indexed; with as many probes as cells the result is that of ``knn``.
+    """
+    rows = vectors.select("key", "vec").where(F.col("vec").isNotNull())
+    asked = queries.select("qid", "vec").where(F.col("vec").isNotNull())
+    n = rows.count()
+    cells = max(1, min(n, cells or int(n**0.5)))
+    # the sample is at most SAMPLE vectors, whatever the size of the table
+    sample = rows.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(SAMPLE).toPandas().vec
+    centres = _centres(np.stack([np.asarray(v, np.float64) for v in sample]), cells, seed) if n else np.zeros((1, 1))
+    near = lambda df, key, most: df.mapInPandas(_cells(centres, most, key), f"{key} {df.schema[key].dataType.simpleString()}, vec array<double>, cell int")
+    left, right = near(rows, "key", 1), near(asked, "qid", min(probes, len(centres)))
+    parts = left.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("parts"))
+    dealt = left.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    probed = right.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, key {vectors.schema['key'].dataType.simpleString()}, score double"
+    met = dealt.select("key", "vec", "cell", "part").groupBy("cell", "part").cogroup(probed.select("qid", "vec", F.col("cell").alias("qcell"), F.col("part").alias("qpart")).groupBy("qcell", "qpart"))
+    return topk(met.applyInPandas(_block_search(k), schema), k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _centres(x: np.ndarray, cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of a sample."""
+    x = _units(x)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _units(sums), c)
+    return c
+
+
+def _cells(centres: np.ndarray, most: int, key: str):
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, np.float64) for v in pdf.vec])
+            first = np.argsort(-(_units(x) @ centres.T), axis=1, kind="stable")[:, :most]
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), first.shape[1]), "vec": [v for v in x for _ in range(first.shape[1])], "cell": first.ravel().astype(np.int32)})
+
+    return run
+
+
+def neighbors(vectors: DataFrame, k: int = 15, exact: bool = True, **how) -> DataFrame:
+    """(key, neighbor, score, rank): the ``k`` nearest other vectors of each vector by cosine; by ``knn``, or by ``ann`` where not ``exact``."""
+    asked = vectors.select(F.col("key").alias("qid"), "vec")
+    hits = (knn(vectors, asked, k + 1) if exact else ann(vectors, asked, k + 1, **how)).where("key <> qid")
+    r = F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1
+    return hits.select(F.col("qid").alias("key"), F.col("key").alias("neighbor"), "score", r.alias("rank")).where(F.col("rank") < k)
+
+
+def without_source(rows: DataFrame, truth: str | None) -> DataFrame:
+    """Rows of the index without the document that the questions were taken from."""
+    return rows if truth is None else rows.where(F.col("path") != truth)
+
+
+def evaluate(lists: dict[str, DataFrame], relevant: DataFrame, doc: str = "path") -> DataFrame:
+    """(method, hit1, hit3, hit5, mrr) of each method's hits (qid, doc, rank) against relevant (qid, doc); best first."""
+    rows = None
+    for method, hits in lists.items():
+        own = doc_ranking(hits, doc).select(F.lit(method).alias("method"), "qid", doc, "rank")
+        rows = own if rows is None else rows.unionByName(own)
+    return score(rows, relevant, ["method"], doc).orderBy(F.desc("hit5"), F.desc("mrr"), "method")
+
+
 def score(rankings: DataFrame, relevant: DataFrame, by: list[str] | None = None, doc: str = "path") -> DataFrame:
     """hit@1, hit@3, hit@5 in percent and MRR@10 of rankings against relevant (qid, doc)."""
     by = by or []
@@ -147,8 +232,16 @@ def leaderboard(scores: DataFrame, n: int = 8) -> DataFrame:
     return scores.orderBy(F.desc("hit1"), F.desc("hit5"), F.desc("mrr"), "k", "w").limit(n)
 
 
-def grep(docs: DataFrame, needle: str, prefix: str = "", limit: int = 50) -> DataFrame:
-    """(path, line, text): literal matches without case, in path and line order, ``limit`` of them."""
+def truncated(hits: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` of hits asked for with one more, each with ``truncated``: whether there was more."""
+    more = hits.agg((F.count("*") > limit).alias("truncated"))
+    return hits.orderBy("path", "line").limit(limit).crossJoin(F.broadcast(more))  # one row
+
+
+def grep(docs: DataFrame, needle: str, prefix: str = "", limit: int | None = 50) -> DataFrame:
+    """(path, line, text): literal matches without case, in path and line order, ``limit`` of them, or all."""
+    prefix = prefix[2:] if prefix.startswith("./") else prefix.removeprefix("/")
     lines = docs.where(F.col("path").startswith(prefix)).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     hits = lines.where(T.fold(F.col("raw")).contains(T.fold(F.lit(needle))))
-    return hits.select("path", (F.col("pos") + 1).cast("int").alias("line"), F.substring(F.trim("raw"), 1, 300).alias("text")).orderBy("path", "line").limit(limit)
+    found = hits.select("path", (F.col("pos") + 1).cast("int").alias("line"), F.substring(F.trim("raw"), 1, 300).alias("text"))
+    return found if limit is None else found.orderBy("path", "line").limit(limit)

@@ -84,6 +84,12 @@ def live_row(events: DataFrame) -> DataFrame:
     return events.select("id", F.coalesce("name", F.lit("silinmiş kullanıcı")).alias("who"), "tool", F.get_json_object("result", "$.k").try_cast("int").alias("n"), F.col("error").isNotNull().alias("failed"))
 
 
+def query_row(events: DataFrame) -> DataFrame:
+    """(id, at, asked, filters, count, paths, failed): events (input and result as JSON) as rows of the query log."""
+    count = F.get_json_object("result", "$.count").try_cast("long")
+    return events.select("id", "at", T.asked(F.col("input"), ("query", "path", "pattern", "prefix")).alias("asked"), T.other_inputs(F.col("input")).alias("filters"), count.alias("count"), T.string_list(F.get_json_object("result", "$.paths")).alias("paths"), F.col("error").isNotNull().alias("failed"))
+
+
 def purge(events: DataFrame, asof_ts: Column, days: int = 90) -> DataFrame:
     """Details that are not older than ``days``; totals are kept elsewhere."""
     return events.where(F.col("at") >= asof_ts - F.expr(f"interval {int(days)} days"))

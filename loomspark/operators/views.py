@@ -61,6 +61,23 @@ def find_team(teams: DataFrame, owners: DataFrame, q: str, each: int = 10, limit
     return rows.groupBy("team", "name").agg(F.min("ord").alias("ord")).orderBy("ord", "team").limit(limit)
 
 
+def team_leagues(leagues: DataFrame) -> DataFrame:
+    """(team, id, name, started_at): one row for each team of each league (id, name, team_ids, started_at)."""
+    return leagues.select(F.explode(F.array_distinct("team_ids")).alias("team"), "id", "name", "started_at")
+
+
+def latest_league(leagues: DataFrame) -> DataFrame:
+    """The league that each team started last; of equal times that of the largest id."""
+    r = F.row_number().over(Window.partitionBy("team").orderBy(F.desc_nulls_last("started_at"), F.desc("id")))
+    return team_leagues(leagues).withColumn("r", r).where("r = 1").drop("r")
+
+
+def match_detail(fixtures: DataFrame, teams: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Fixtures with both teams' names and the engine's input (fixture, engine_version, seed), where one was kept: the newest version's."""
+    kept = snapshots.groupBy("fixture").agg(F.max(F.struct("engine_version", "seed")).alias("s"))
+    return with_names(fixtures, teams).join(kept, fixtures["id"] == kept["fixture"], "left").select("id", "home", "away", "home_name", "away_name", "home_goals", "away_goals", "status", "match_date", F.col("s.engine_version").alias("engine_version"), F.col("s.seed").alias("seed"))
+
+
 def team_card(teams: DataFrame, owners: DataFrame, tables: DataFrame) -> DataFrame:
     """A team with its owner and league row; either may be missing."""
     return teams.join(owners.select("owner", F.col("name").alias("owner_name")), "owner", "left").join(tables.select("team", "points", "position"), "team", "left").select("team", "name", "owner_name", "points", "position")

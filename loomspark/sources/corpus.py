@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import chunks
 
 
 def corpus(spark: SparkSession, root: str, area: str) -> DataFrame:
     """(area, path, text) of every markdown file below ``root``; tool folders are left out."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("text"))
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
-    path = F.regexp_replace("f", f"^.*?{base}/", "")
-    return files.select(F.lit(area).alias("area"), path.alias("path"), "text").where(~F.col("path").rlike(r"(^|/)(node_modules|tools|\.git)/"))
+    # file names are given URL-encoded; a plus is itself there
+    name = F.url_decode(F.replace("f", F.lit("+"), F.lit("%2B")))
+    base = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    path = F.substring(name, F.locate(base, name) + len(base), F.length(name))
+    found = files.select(F.lit(area).alias("area"), path.alias("path"), "text").where(~F.col("path").rlike(r"(^|/)(node_modules|tools|\.git)/"))
+    return found.orderBy("path")
+
+
+def docs(df: DataFrame, mode: str = "permissive") -> DataFrame:
+    """Documents (path, text) with meta, body and ``_error``: a broken head gives an empty meta, or fails the job with mode ``failfast``."""
+    return chunks.parsed(df, mode)
 
 
 def in_doc_dirs(df: DataFrame, dirs=T.DOC_DIRS) -> DataFrame:
@@ -56,7 +65,8 @@ def ground_truth(docs: DataFrame, section: str, base: str = "genel", head: str =
 
 def problems(lines: DataFrame, col: str = "value", limit: int = 12) -> DataFrame:
     """Newest warnings and errors of JSON-lines logs; other and partial lines are skipped."""
-    rows = lines.where(F.col(col).startswith("{")).select(F.from_json(col, "time string, level string, msg string, error string").alias("j")).select("j.*")
+    whole = lines.where(F.col(col).startswith("{") & F.try_parse_json(col).isNotNull())
+    rows = whole.select(F.from_json(col, "time string, level string, msg string, error string").alias("j")).select("j.*")
     bad = rows.where(F.col("level").isin("warn", "error"))
     return bad.select("time", "level", "msg", F.substring("error", 1, 240).alias("error")).orderBy(F.desc("time"), "msg").limit(limit)
 

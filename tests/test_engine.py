@@ -20,8 +20,8 @@ def test_scalars(spark):
     assert col(spark, ["a  b\nc", "abcdef"], lambda c: T.one_line(c, 5)) == ["a b c", "abcd…"]
     assert col(spark, ["[a](x%20y.md#z) [b](http://q) [c](#d) [e](a+b.md?r)"], T.links) == [["x y.md", "a+b.md"]]
     assert col(spark, ["a<!-- gen:start -->B<!-- gen:end -->c", "none"], T.gen_block) == ["B", None]
-    assert col(spark, ["secret-1234", "abc", ""], T.mask_secret) == ["…1234", "•••", None]
-    assert col(spark, ["fooBar Baz"], T.kebab) == ["foo-bar-baz"]
+    assert col(spark, ["secret-1234", "abc", ""], T.mask_secret) == ["…1234", "••••", None]
+    assert col(spark, ["fooBar Baz", "HTTPServer", "getUserByID"], T.kebab) == ["foo-bar baz", "http-server", "get-user-by-id"]
     assert col(spark, ["aa\n\nbb\n\ncccc"], lambda c: T.pack(c, 6)) == [["aa\n\nbb", "cccc"]]
 
 
