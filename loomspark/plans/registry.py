@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chunks, graph, impact, index, layout, quality, search, usage, views
+from loomspark.operators import chunks, facts, graph, impact, index, layout, quality, search, store, usage, views
 from loomspark.operators.policy import Policy, TablePolicy
 from loomspark.plans import relations as R
 from loomspark.sources import corpus
@@ -68,13 +68,13 @@ def text_search(spark, d):
 
 _KNN = """
 knn AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) - 1 AS rank FROM (
-  SELECT q.vec_id AS qid, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 40) QUALIFY rank < 30)
+  SELECT q.vec_id AS qid, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) QUALIFY rank < 30)
 """
 
 
 #: Asked by the queries over the whole table: every hundredth row, and the rows that stand for questions of the benchmark.
 _WHOLE = "(q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark))"
-_KNN_WHOLE = _KNN.replace("q.vec_id < 40", _WHOLE)
+_KNN_WHOLE = _KNN.replace("q.vec_id % 100 = 0", _WHOLE)
 
 
 def asked_of_all(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def asked_of_all(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_hits(spark: SparkSession, d: str, k: int = 30, whole: bool = False) -> DataFrame:
     v = R.vectors(spark, d)
-    return search.knn(v, (asked_of_all(spark, d) if whole else v.where("key < 40")).select(F.col("key").alias("qid"), "vec"), k)
+    return search.knn(v, (asked_of_all(spark, d) if whole else v.where("key % 100 = 0")).select(F.col("key").alias("qid"), "vec"), k)
 
 
 @query(R.sql("SELECT qid, key, score, rank FROM knn WHERE rank < 10", recursive=_KNN))
@@ -98,34 +98,73 @@ def vector_knn_whole(spark, d):
     return vector_hits(spark, d, 10, whole=True)
 
 
+_BUCKETS = "SELECT {0} AS id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(" + _TERMS.format("text") + ") AS term FROM {1}) GROUP BY ALL"
+_VECTORS = f"""
+doc_buckets AS ({_BUCKETS.format("key", "docs WHERE status <> 'kaldırıldı'")}), question_buckets AS ({_BUCKETS.format("item_id", "benchmark")}),
+doc_norms AS (SELECT id, sqrt(sum(n * n)) AS norm FROM doc_buckets GROUP BY id), question_norms AS (SELECT id, sqrt(sum(n * n)) AS norm FROM question_buckets GROUP BY id),
+cosines AS (SELECT q.id AS qid, v.id AS key, round(sum(q.n * v.n) / (any_value(qn.norm) * any_value(vn.norm)), 6) AS score FROM question_buckets q JOIN doc_buckets v ON q.b = v.b JOIN question_norms qn ON qn.id = q.id JOIN doc_norms vn ON vn.id = v.id GROUP BY q.id, v.id),
+vector_hits AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) - 1 AS rank FROM cosines QUALIFY rank < 30)
+"""
 _FUSED = """
-lists AS (SELECT qid, 0 AS list, 1.0 AS weight, key, rank FROM text_hits UNION ALL SELECT qid, 1, 2.0, key, rank FROM knn),
+lists AS (SELECT qid, 0 AS list, 1.0 AS weight, key, rank FROM text_hits UNION ALL SELECT qid, 1, 2.0, key, rank FROM vector_hits),
 fused AS (SELECT qid, key, round(sum(weight / (20 + rank + 1)), 9) AS score, min({'l': list, 'r': rank}) AS first FROM lists GROUP BY ALL),
 ranked AS (SELECT qid, f.key, score, docs.module AS path, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first.l, first.r) - 1 AS rank FROM fused f JOIN docs ON docs.key = f.key)
 """
 
 
 _CAPPED = "SELECT qid, key, path, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY rank) AS n FROM ranked) WHERE n <= 2 QUALIFY place <= 8"
+_HYBRID = [_BM25, _VECTORS, _FUSED]
+#: The same with removed documents.
+_ALL = [x.replace("status <> 'kaldırıldı'", "true") for x in _HYBRID]
+
+
+def hits_of(spark, d, removed: bool = False):
+    """Text and vector hits of the questions among the documents; vectors are bags of terms."""
+    docs = search.prefilter(R.docs(spark, d), include_removed=removed)
+    asked = R.questions(spark, d)
+    text = search.text_search(search.postings(docs.select("key", "title", "content")), asked, 30)
+    own, wanted = index.term_vectors(docs, "key", "text"), index.term_vectors(asked, "qid", "text")
+    return text, search.knn(own, wanted.withColumnRenamed("key", "qid"), 30)
 
 
-@query(R.sql(_CAPPED, "docs", recursive=", ".join([_BM25, _KNN, _FUSED])))
-def hybrid_search(spark, d, whole=False):
+@query(R.sql(_CAPPED, "docs", recursive=", ".join(_HYBRID)))
+def hybrid_search(spark, d, removed=False):
     """Text and vector lists fused by weighted reciprocal rank; two hits a module, eight a question."""
-    text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
-    fused = search.hybrid(text, vector_hits(spark, d, whole=whole).withColumn("key", F.col("key").cast("long")))
+    fused = search.hybrid(*hits_of(spark, d, removed))
     hits = fused.join(R.docs(spark, d).select("key", F.col("module").alias("path")), "key")
     return search.cap(hits).select("qid", "key", "path", "score", "place")
 
 
-@query(R.sql(_CAPPED, "docs", recursive=", ".join([_BM25, _KNN_WHOLE, _FUSED])))
+@query(R.sql(_CAPPED, "docs", recursive=", ".join(_ALL)))
 def hybrid_search_whole(spark, d):
-    return hybrid_search(spark, d, whole=True)
+    """The same over all documents, the removed ones too."""
+    return hybrid_search(spark, d, removed=True)
+
+
+_RELEVANT = "relevant AS (SELECT item_id AS qid, docs.key FROM benchmark b JOIN docs ON status <> 'kaldırıldı' AND contains(docs.text, b.text)), asked AS (SELECT DISTINCT qid FROM relevant)"
+_GRADE = "round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1, round(avg(CASE WHEN r < 3 THEN 100.0 ELSE 0 END), 1) AS hit3, round(avg(CASE WHEN r < 5 THEN 100.0 ELSE 0 END), 1) AS hit5, round(avg(CASE WHEN r < 10 THEN 1.0 / (r + 1) ELSE 0 END), 3) AS mrr"
+
+
+def relevant(spark, d):
+    """(qid, path): live documents that hold a question's passage. The questions are a stated set, some hundreds."""
+    asked = R.questions(spark, d).withColumnRenamed("text", "passage")
+    docs = search.prefilter(R.docs(spark, d)).select(F.col("key").alias("path"), "text")
+    few = asked.limit(10_001).count() <= 10_000
+    return docs.join(F.broadcast(asked) if few else asked, F.col("text").contains(F.col("passage"))).select("qid", "path")
+
+
+@query(R.sql(f"SELECT method, {_GRADE} FROM (SELECT m.method, a.qid, min(x.rank) AS r FROM (VALUES ('text'), ('vector'), ('hybrid')) m(method) CROSS JOIN asked a LEFT JOIN (SELECT h.*, r.key AS hit FROM (SELECT 'text' AS method, qid, key, rank FROM text_hits UNION ALL SELECT 'vector', qid, key, rank FROM vector_hits UNION ALL SELECT 'hybrid', qid, key, rank FROM ranked) h JOIN relevant r ON r.qid = h.qid AND r.key = h.key) x ON x.method = m.method AND x.qid = a.qid GROUP BY ALL) GROUP BY method", "docs", recursive=", ".join([*_HYBRID, _RELEVANT])))
+def retrieval_methods(spark, d):
+    """Text, vectors and both, graded by the documents that hold the passage."""
+    text, vector = hits_of(spark, d)
+    own = lambda hits: hits.select("qid", F.col("key").alias("path"), "rank")
+    return search.evaluate({"text": own(text), "vector": own(vector), "hybrid": own(search.hybrid(text, vector))}, relevant(spark, d))
 
 
 _EVAL = """
 vec AS (SELECT knn.qid, knn.key, rank, e.label::VARCHAR AS path, q.label::VARCHAR AS want FROM knn JOIN embeddings e ON e.vec_id = knn.key JOIN embeddings q ON q.vec_id = knn.qid WHERE knn.key <> knn.qid),
 ranking AS (SELECT qid, path, want, row_number() OVER (PARTITION BY qid ORDER BY best) - 1 AS rank FROM (SELECT qid, path, want, min(rank) AS best FROM vec GROUP BY ALL)),
-firsts AS (SELECT q.vec_id AS qid, (SELECT min(rank) FROM ranking r WHERE r.qid = q.vec_id AND r.path = r.want) AS r FROM embeddings q WHERE vec_id < 40)
+firsts AS (SELECT q.vec_id AS qid, (SELECT min(rank) FROM ranking r WHERE r.qid = q.vec_id AND r.path = r.want) AS r FROM embeddings q WHERE vec_id % 100 = 0)
 """
 
 
@@ -136,32 +175,30 @@ _SCORES = "SELECT round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1,
 def retrieval_score(spark, d, whole=False):
     v = R.vectors(spark, d)
     hits = vector_hits(spark, d, whole=whole).where("key <> qid").join(v.select("key", "path"), "key")
-    asked = asked_of_all(spark, d) if whole else v.where("key < 40")
+    asked = asked_of_all(spark, d) if whole else v.where("key % 100 = 0")
     return search.score(search.doc_ranking(hits), asked.select(F.col("key").alias("qid"), "path"))
 
 
-@query(R.sql(_SCORES, recursive=", ".join([_KNN_WHOLE, _EVAL.replace("WHERE vec_id < 40", f"WHERE {_WHOLE}")])))
+@query(R.sql(_SCORES, recursive=", ".join([_KNN_WHOLE, _EVAL.replace("WHERE vec_id % 100 = 0", f"WHERE {_WHOLE}")])))
 def retrieval_score_whole(spark, d):
     return retrieval_score(spark, d, whole=True)
 
 
-@query()
+@query(R.sql(f"SELECT k, w, {_GRADE} FROM (SELECT g.k, g.w, a.qid, min(x.rank) AS r FROM grid g CROSS JOIN asked a LEFT JOIN (SELECT s.* FROM settings s JOIN relevant r ON r.qid = s.qid AND r.key = s.key) x ON x.k = g.k AND x.w = g.w AND x.qid = a.qid GROUP BY ALL) GROUP BY k, w ORDER BY hit1 DESC, hit5 DESC, mrr DESC, k, w LIMIT 8", "docs", recursive=", ".join([_BM25, _VECTORS, _RELEVANT, """
+grid AS (SELECT k::INT AS k, w::DOUBLE AS w FROM (VALUES (10), (20), (40), (60)) a(k), (VALUES (0.5), (1.0), (1.5), (2.0), (3.0)) b(w)),
+both_lists AS (SELECT qid, 0 AS list, key, rank FROM text_hits UNION ALL SELECT qid, 1, key, rank FROM vector_hits),
+settings AS (SELECT k, w, qid, key, row_number() OVER (PARTITION BY k, w, qid ORDER BY score DESC, first.l, first.r) - 1 AS rank FROM (SELECT k, w, qid, key, round(sum(CASE WHEN list = 0 THEN 1.0 ELSE w END / (k + rank + 1)), 9) AS score, min({'l': list, 'r': rank}) AS first FROM both_lists, grid GROUP BY ALL))
+"""])))
 def fusion_sweep(spark, d):
-    """Settings of the fusion by hit@1, hit@5 and MRR, against documents that hold the passage."""
-    text = search.text_search(live_postings(spark, d), R.questions(spark, d), 30)
-    got = search.sweep(text, vector_hits(spark, d, whole=True)).withColumnRenamed("key", "path")
-    relevant = text.where("rank = 0").select("qid", F.col("key").alias("path"))
-    return search.leaderboard(search.score(got, relevant, ["k", "w"]))
+    """Settings of the fusion by hit@1, hit@5 and MRR, against documents that hold the passage: the best eight."""
+    got = search.sweep(*hits_of(spark, d)).withColumnRenamed("key", "path")
+    return search.leaderboard(search.score(got, relevant(spark, d), ["k", "w"]))
 
 
-@query(R.sql("SELECT path, row_number() OVER (PARTITION BY path ORDER BY pos) AS nth, line AS text, pos AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs) WHERE contains(lower(translate(line, 'İI', 'ii')), 'tion') AND length(trim(line)) <= 40", "docs"))
+@query(R.sql("SELECT path, pos AS line, substr(trim(line, ' '), 1, 300) AS text FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs) WHERE contains(lower(translate(line, 'İI', 'ii')), 'tion')", "docs"))
 def grep_lines(spark, d):
-    """All short lines with a word part, any case, numbered from 1."""
-    from pyspark.sql import Window
-
-    lines = R.docs(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    hits = lines.where(T.fold(F.col("text")).contains("tion") & (F.length(F.trim("text")) <= 40))
-    return hits.select("path", F.row_number().over(Window.partitionBy("path").orderBy("pos")).alias("nth"), "text", (F.col("pos") + 1).alias("line"))
+    """All lines with a word part, any case, numbered from 1."""
+    return search.grep(R.docs(spark, d), "TION", limit=None)
 
 
 @query("""
@@ -183,10 +220,10 @@ def chunk_pieces(spark, d):
     return p.where(F.size("p") > 0).select("doc_id", F.size("p").cast("long").alias("pieces"), F.array_max(F.transform("p", lambda x: F.length(x))).cast("long").alias("longest"), T.sha(F.array_join("p", "|")).alias("digest"))
 
 
-@query("SELECT doc_id, lower(translate(substr(text, 1, 200), 'İI', 'ii')) AS folded, sha256(text) AS hash, CASE WHEN length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) > 80 THEN substr(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 79) || '…' ELSE trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') END AS line, len(list_distinct(" + _TERMS.format("text") + ")) AS n_terms FROM documents")
+@query("SELECT doc_id, sha256(lower(translate(text, 'İI', 'ii'))) AS folded, sha256(text) AS hash, CASE WHEN length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) > 80 THEN substr(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 79) || '…' ELSE trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') END AS line, len(list_distinct(" + _TERMS.format("text") + ")) AS n_terms FROM documents")
 def text_functions(spark, d):
     t = F.col("text")
-    return R.table(spark, d, "documents").select("doc_id", T.fold(F.substring(t, 1, 200)).alias("folded"), T.sha(t).alias("hash"), T.one_line(t, 80).alias("line"), F.size(T.question_terms(t)).cast("long").alias("n_terms"))
+    return R.table(spark, d, "documents").select("doc_id", T.sha(T.fold(t)).alias("folded"), T.sha(t).alias("hash"), T.one_line(t, 80).alias("line"), F.size(T.question_terms(t)).cast("long").alias("n_terms"))
 
 
 @query("""
@@ -353,13 +390,34 @@ def graph_closure(spark, d):
     return graph.closure(e, spark.range(1, 2).select(F.col("id").alias("node")), e.where("dst % 10 = 5").select(F.col("dst").alias("node")).distinct())
 
 
-@query(R.sql("SELECT root, string_agg(DISTINCT (node % 3)::VARCHAR, ',' ORDER BY (node % 3)::VARCHAR) AS attrs, count(DISTINCT node) AS n FROM reach GROUP BY root", "edges", recursive="reach(root, node) AS (SELECT DISTINCT src, src FROM edges WHERE src <= 10 UNION SELECT root, dst FROM reach JOIN edges ON src = node)"))
+_TREE = "tree AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
+_ROOTS = "SELECT 'r' || r_regionkey AS node, true AS layout FROM region UNION ALL SELECT 'n' || n_nationkey, false FROM nation"
+
+
+def tree(spark, d):
+    """Regions, nations and customers as a graph, each above the next."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    upper = R.table(spark, d, "nation").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    edges = upper.unionByName(R.table(spark, d, "customer").select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst")))
+    roots = R.table(spark, d, "region").select(name("r", "r_regionkey").alias("node"), F.lit(True).alias("layout")).unionByName(R.table(spark, d, "nation").select(name("n", "n_nationkey").alias("node"), F.lit(False).alias("layout")))
+    return edges, roots
+
+
+@query(f"WITH RECURSIVE {_TREE}, reach(root, node) AS (SELECT node, node FROM ({_ROOTS}) UNION SELECT root, dst FROM reach JOIN tree ON src = node) SELECT root, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS attrs, count(*) AS n FROM reach JOIN customer ON node = 'c' || c_custkey GROUP BY root")
 def graph_rollup(spark, d):
-    """Attributes of what the roots up to 10, a stated query set, reach over all edges."""
-    e = R.edges(spark, d)
-    pairs = graph.pairs_reachable(e, e.where("src <= 10").select(F.col("src").alias("node")))
-    attrs = pairs.select("node").distinct().withColumn("attr", (F.col("node") % 3).cast("string"))
-    return graph.attribute_rollup(pairs, attrs).join(pairs.groupBy("root").agg(F.count("*").alias("n")), "root")
+    """What all regions and nations reach: their customers' segments."""
+    edges, roots = tree(spark, d)
+    pairs = graph.pairs_reachable(edges, roots)
+    attrs = R.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("attr"))
+    return graph.attribute_rollup(pairs, attrs).join(pairs.where("node like 'c%'").groupBy("root").agg(F.count("*").alias("n")), "root")
+
+
+@query(f"WITH RECURSIVE {_TREE}, reach(node, up) AS (SELECT n, n FROM (SELECT src AS n FROM tree UNION SELECT dst FROM tree) UNION SELECT node, src FROM reach JOIN tree ON dst = up), hits AS (SELECT r.node, up AS root, layout FROM reach r JOIN ({_ROOTS}) x ON x.node = up) SELECT node, root FROM hits h WHERE layout = (SELECT min(layout) FROM hits g WHERE g.node = h.node)")
+def roots_reaching(spark, d):
+    """The nations that reach each node; regions only where no nation does."""
+    edges, roots = tree(spark, d)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graph.roots_reaching(edges, roots, nodes)
 
 
 @query(R.sql("SELECT DISTINCT dst AS src, src AS dst FROM edges", "edges"))
@@ -397,11 +455,10 @@ def impact_docs(spark, d):
     return found.select("doc", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(R.sql("SELECT DISTINCT 'status' AS rule, 'retryable' AS severity, path, 'status: ' || status AS message FROM docs WHERE status <> 'canlıda' UNION SELECT 'todo', 'retryable', path, 'the' FROM docs WHERE contains(text, 'Thtion')", "docs"))
+@query(R.sql("SELECT DISTINCT 'status' AS rule, 'retryable' AS severity, path, 'status: ' || status AS message FROM docs WHERE status <> 'canlıda' UNION SELECT 'todo', 'retryable', path, 'Thtion' FROM docs WHERE contains(text, 'Thtion')", "docs"))
 def quality_report(spark, d):
     docs = R.docs(spark, d)
-    marked = quality.todo(docs, "Thtion").withColumn("message", F.lit("the"))
-    return quality.run([quality.vocabulary(docs, ["canlıda"]), marked])
+    return quality.run([quality.vocabulary(docs, ["canlıda"]), quality.todo(docs, "Thtion")])
 
 
 @query("SELECT DISTINCT 'broken-link' AS rule, 'retryable' AS severity, page_id::VARCHAR AS path, link AS message FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE substr(link, 2) NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)")
@@ -425,7 +482,7 @@ def folder_counts(spark, d):
 
 @query(R.sql("SELECT path, title, kind, module, status FROM docs WHERE starts_with(path, 'flows/src1/')", "docs"))
 def list_prefix(spark, d):
-    return R.docs(spark, d).where(F.col("path").startswith("flows/src1/")).select("path", "title", "kind", "module", "status").orderBy("path")
+    return store.list_docs(R.docs(spark, d), "./flows/src1/").select("path", "title", "kind", "module", "status")
 
 
 @query(R.sql("SELECT day, user_id, tool, calls, errors FROM daily", "daily"))
@@ -442,7 +499,13 @@ def stream_rollup(spark, d):
 
 @query(R.sql("SELECT user_id, date_trunc('minute', max(\"at\")) AS last_used FROM usage_events GROUP BY user_id", "usage_events"))
 def stream_last_used(spark, d):
-    return streams.last_used(R.events(spark, d))
+    """The log as a file stream, its users' last minutes kept as state."""
+    import uuid
+
+    base = f"{folder(spark)}/{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(R.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    streams.last_used_stream(raw.select(F.col("ts").alias("at"), "user_id"), f"{base}/last", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/last")
 
 
 @query()
@@ -454,3 +517,206 @@ def layout_map(spark, d):
 def layout_normalize(spark, d):
     v = R.vectors(spark, d)
     return layout.normalize(v.select("key", *(F.col("vec")[i].cast("double").alias(a) for i, a in enumerate("xyz"))))
+
+
+_MD = "'---' || chr(10) || 'title: T' || doc_id || chr(10) || 'type: ' || lang || chr(10) || 'module: ' || source || chr(10) || 'aliases: [a' || doc_id || ', b' || doc_id || ']' || chr(10) || '---' || chr(10)"
+_SECTIONS = """
+l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT *, sum(CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section, pos % 4 = 0 AS head, trim(line, ' ') AS title FROM l),
+s AS (SELECT doc_id, source, lang, section, coalesce(max(title) FILTER (head), '') AS h2, trim(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM m GROUP BY ALL),
+made AS (SELECT *, 'flows/' || source || '/' || doc_id || '.md' AS path, 'Akış (' || source || ') › T' || doc_id || CASE WHEN h2 = '' THEN '' ELSE ' › ' || h2 END || chr(10) || 'Eş anlamlılar: a' || doc_id || ', b' || doc_id || chr(10) || text AS embed FROM s WHERE text <> '')
+"""
+
+
+def markdown(spark, d):
+    """(path, text): the documents with a head and every fourth line a heading."""
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
+    key = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("---\ntitle: T"), key, F.lit("\ntype: "), "lang", F.lit("\nmodule: "), "source", F.lit("\naliases: [a"), key, F.lit(", b"), key, F.lit("]\n---\n"))
+    return R.table(spark, d, "documents").select(F.concat(F.lit("flows/"), "source", F.lit("/"), key, F.lit(".md")).alias("path"), F.concat(head, lines).alias("text"))
+
+
+@query(f"WITH {_SECTIONS} SELECT path || '#' || CASE WHEN h2 = '' THEN 'giriş' ELSE h2 END AS id, sha256(embed) AS hash, path, lang AS kind, 'T' || doc_id AS title, source AS module, h2 AS headings, 0 AS part, sha256(text) AS text FROM made")
+def corpus_chunks(spark, d):
+    """Markdown documents with YAML heads to chunks: ids by heading, breadcrumbs, aliases."""
+    found = chunks.build_chunks(corpus.docs(markdown(spark, d), "failfast"))
+    return found.select("id", "hash", "path", "kind", "title", "module", "headings", "part", T.sha(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_SECTIONS} SELECT path || '#' || CASE WHEN h2 = '' THEN 'giriş' ELSE h2 END AS id, 'a' || doc_id || ', b' || doc_id AS aliases, h2 AS headings, 'yok' AS status, lang AS kind, source AS module FROM made")
+def index_rows(spark, d):
+    return store.index_row(chunks.build_chunks(corpus.docs(markdown(spark, d)))).select("id", "aliases", "headings", "status", "kind", "module")
+
+
+@query("WITH x AS (SELECT doc_id, source, lang, " + _MD + " || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 1 THEN '## ' || x ELSE x END), chr(10)) AS text FROM documents) SELECT 'flows/' || source || '/' || doc_id || '.md' AS path, 'T' || doc_id AS title, lang AS kind, source AS module, '' AS status, sha256(text) AS hash FROM x")
+def doc_rows(spark, d):
+    return store.doc_rows(corpus.docs(markdown(spark, d))).select("path", "title", "kind", "module", "status", "hash")
+
+
+def _hits(spark, d, n=10):
+    rows = R.docs(spark, d).join(R.table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.lit(True).alias("labelled")), "key", "left")
+    shown = rows.select("key", "path", F.col("kind").alias("area"), F.lit("").alias("headings"), F.when(F.col("labelled"), F.col("status")).alias("status"))
+    return search.text_search(live_postings(spark, d), R.questions(spark, d), n).join(store.index_row(shown), "key")
+
+
+@query(R.sql("SELECT qid, key, path, round(score, 4) AS score, rank, CASE WHEN key IN (SELECT doc_id FROM labels) THEN status ELSE '' END AS status FROM text_hits JOIN docs USING (key) WHERE rank < 10", "docs", recursive=_BM25.replace("SELECT path, key, status", "SELECT path, key, docs.status")))
+def hit_rows(spark, d):
+    """Hits as they are shown; documents without a label have no status."""
+    return store.hit_row(_hits(spark, d)).select("qid", "key", "path", "score", "rank", "status")
+
+
+@query(R.sql("SELECT qid, count(*) AS count, array_to_string(list_slice(list(path ORDER BY rank), 1, 5), ' ') AS paths FROM text_hits JOIN docs USING (key) WHERE rank < 10 GROUP BY qid", "docs", recursive=_BM25))
+def result_summary(spark, d):
+    """How many hits a question has, and the first five documents."""
+    return store.summarize(_hits(spark, d)).select("qid", "count", F.array_join("paths", " ").alias("paths"))
+
+
+@query(R.sql("SELECT qid, kind AS area, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind, rank) AS place FROM text_hits JOIN docs USING (key) QUALIFY place <= 8", "docs", recursive=_BM25))
+def multi_area(spark, d):
+    """The best eight of the hits of all languages, each an area."""
+    return search.multi_area(_hits(spark, d, 30).select("qid", "area", "key", "score", "rank")).select("qid", "area", "key", "score", "place")
+
+
+@query(f"WITH {_LEDGER} SELECT id AS path, CASE WHEN c.hash IS NULL THEN 'removed' WHEN l.hash = c.hash THEN 'same' ELSE 'written' END AS state FROM cur c FULL JOIN ledger l USING (id)")
+def doc_store_sync(spark, d):
+    return store.sync_docs(_current(spark, d).withColumnRenamed("id", "path"), _ledger(spark, d).withColumnRenamed("id", "path"))
+
+
+@query(R.sql("SELECT './' || substr(path, 1, length(path) - 3) AS asked, path, title, status FROM docs SEMI JOIN labels ON doc_id = key", "docs"))
+def doc_get(spark, d):
+    """Labelled documents read by paths that are written in another way."""
+    rows = R.docs(spark, d)
+    asked = rows.join(R.table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi").select(F.concat(F.lit("./"), F.regexp_replace("path", r"\.md$", "")).alias("asked"))
+    return store.get_many(rows, asked).select("asked", "path", "title", "status")
+
+
+@query("WITH x AS (SELECT DISTINCT l_suppkey % 20 AS team, o_orderkey AS id, o_orderdate AS started_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT team, id, 'league ' || id AS name, started_at FROM x QUALIFY row_number() OVER (PARTITION BY team ORDER BY started_at DESC, id DESC) = 1")
+def latest_league(spark, d):
+    """Orders as leagues of the suppliers' teams; the one that each team started last."""
+    members = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_suppkey") % 20).alias("team_ids"))
+    leagues = members.join(R.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started_at")), "id")
+    return views.latest_league(leagues.withColumn("name", F.concat(F.lit("league "), F.col("id").cast("string"))))
+
+
+@query(R.sql("SELECT id, home, away, h.name AS home_name, a.name AS away_name, home_goals, away_goals, status, match_date, o_orderpriority AS engine_version, o_custkey::VARCHAR AS seed FROM fixtures LEFT JOIN teams h ON h.team = home LEFT JOIN teams a ON a.team = away LEFT JOIN orders ON id = o_orderkey * 10 + 1", "fixtures", "teams"))
+def match_detail(spark, d):
+    kept = R.table(spark, d, "orders").select((F.col("o_orderkey") * 10 + 1).alias("fixture"), F.col("o_orderpriority").alias("engine_version"), F.col("o_custkey").cast("string").alias("seed"))
+    return views.match_detail(R.fixtures(spark, d), R.teams(spark, d), kept)
+
+
+@query(R.sql("SELECT kind AS area, module, count(*) AS n FROM docs GROUP BY ALL", "docs"))
+def area_counts(spark, d):
+    return layout.area_counts(R.docs(spark, d).withColumnRenamed("kind", "area"), by_module=True)
+
+
+_PLACED = "placed AS (SELECT ['flows/', 'modules/', 'genel/', 'api/'][1 + key % 4] || key || '.md' AS path, key % 4 AS folder, module, status FROM docs)"
+
+
+@query(R.sql("SELECT module AS field, path, row_number() OVER (PARTITION BY module ORDER BY folder, path) AS place FROM placed WHERE status <> 'kaldırıldı' QUALIFY place <= 6", "docs", recursive=_PLACED))
+def docs_naming(spark, d):
+    """The documents that name a module in backticks, the first six by folder."""
+    rows = R.docs(spark, d)
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("flows/", "modules/", "genel/", "api/"))), (F.col("key") % 4 + 1).cast("int")), F.col("key").cast("string"), F.lit(".md"))
+    return facts.docs_naming(rows.select(F.col("module").alias("field")), rows.select(path.alias("path"), "status", F.concat(F.lit("see `"), "module", F.lit("`")).alias("body")))
+
+
+@query("WITH called AS (SELECT DISTINCT l_suppkey::VARCHAR AS op, l_partkey * 2 AS field FROM lineitem) SELECT 'unused' AS kind, p_partkey AS name, NULL::VARCHAR AS by FROM part WHERE p_partkey NOT IN (SELECT field FROM called) UNION ALL SELECT 'missing', field, op FROM called WHERE field NOT IN (SELECT p_partkey FROM part)")
+def fact_gaps(spark, d):
+    """Parts that no supplier calls, and calls of parts that aren't there."""
+    called = R.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("op"), (F.col("l_partkey") * 2).alias("field"))
+    return facts.gaps(R.table(spark, d, "part").select(F.col("p_partkey").alias("field")), called)
+
+
+_EDITED = """
+edited AS (SELECT ['A', 'M', 'D', 'R'][1 + doc_id % 4] AS status, 'src/modules/m' || doc_id % 60 || '/f' || doc_id || '.resolver.ts' AS path, CASE WHEN doc_id % 4 = 3 THEN 'src/modules/m' || (doc_id + 1) % 60 || '/old' || doc_id || '.ts' END AS old_path FROM labels),
+both_sides AS (SELECT status, path AS changed, old_path, path FROM edited UNION SELECT status, path, old_path, old_path FROM edited WHERE old_path IS NOT NULL)
+"""
+
+
+def _edited(spark, d):
+    k = F.col("doc_id")
+    file = lambda m, n: F.concat(F.lit("src/modules/m"), (m % 60).cast("string"), F.lit(n), k.cast("string"))
+    return R.table(spark, d, "labels").select(F.element_at(F.array(*map(F.lit, "AMDR")), (k % 4 + 1).cast("int")).alias("status"), F.concat(file(k, "/f"), F.lit(".resolver.ts")).alias("path"), F.when(k % 4 == 3, F.concat(file(k + 1, "/old"), F.lit(".ts"))).alias("old_path"))
+
+
+@query(f"WITH {_EDITED}, seen AS (SELECT DISTINCT regexp_extract(path, '^src/modules/([^/]+)/', 1) AS module FROM both_sides), told AS (SELECT DISTINCT 'm' || s_suppkey % 40 AS module FROM supplier), there AS (SELECT DISTINCT 'm' || n_nationkey * 2 AS module FROM nation) SELECT module, CASE WHEN there.module IS NOT NULL AND told.module IS NULL THEN 'new' WHEN there.module IS NULL AND told.module IS NOT NULL THEN 'removed' ELSE 'known' END AS state FROM seen LEFT JOIN told USING (module) LEFT JOIN there USING (module)".replace("SELECT module, CASE", "SELECT seen.module, CASE"))
+def impact_modules(spark, d):
+    """Touched modules that are new, removed or known."""
+    docs = R.table(spark, d, "supplier").select(F.concat(F.lit("modules/m"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".md")).alias("path")).distinct()
+    return impact.modules(_edited(spark, d), R.table(spark, d, "nation").select(F.concat(F.lit("m"), (F.col("n_nationkey") * 2).cast("string")).alias("module")), docs)
+
+
+@query(f"WITH {_EDITED} SELECT DISTINCT 'flows/' || n_nationkey || '.md' AS doc, 'endpoint changed: ' || path AS reason FROM both_sides JOIN nation ON regexp_extract(path, '^src/modules/([^/]+)/', 1) = 'm' || n_nationkey WHERE ends_with(path, '.resolver.ts') UNION SELECT 'modules/' || regexp_extract(path, '^src/modules/([^/]+)/', 1) || '.md', 'endpoint changed: ' || path FROM both_sides WHERE ends_with(path, '.resolver.ts')")
+def impact_endpoints(spark, d):
+    """Changed resolvers: their modules' documents and flows."""
+    key = F.col("n_nationkey").cast("string")
+    docs = R.table(spark, d, "nation").select(F.concat(F.lit("flows/"), key, F.lit(".md")).alias("path"), F.concat(F.lit("m"), key).alias("module"))
+    return impact.by_endpoint(_edited(spark, d), docs).select("doc", "reason").distinct()
+
+
+_APP = """
+ch AS (SELECT ['A', 'M', 'D', 'R'][1 + doc_id % 4] AS status, 'src/d' || doc_id % 97 || '/f' || doc_id || '.ts' AS path, CASE WHEN doc_id % 4 = 3 THEN 'src/d' || (doc_id + 5) % 97 || '/f' || (doc_id + 5) || '.ts' END AS old_path FROM labels),
+sides2 AS (SELECT status, path AS changed, old_path, path FROM ch UNION SELECT status, path, old_path, old_path FROM ch WHERE old_path IS NOT NULL),
+named AS (SELECT docs.path AS doc, 'src/d' || key % 97 || '/f' || key || '.ts' AS path, 'src/d' || key % 97 AS folder FROM docs WHERE key % 3 = 0),
+found AS (SELECT doc, 'sources: ' || CASE WHEN status = 'R' THEN 'moved: ' || old_path || ' → ' || changed ELSE status || ' ' || path END AS reason, 0 AS ord FROM sides2 JOIN named USING (path)
+  UNION SELECT n.doc, 'new file in a known folder: ' || c.path, 2 FROM ch c JOIN named n ON n.folder = regexp_replace(c.path, '/[^/]*$', '') WHERE status = 'A' AND c.path NOT IN (SELECT path FROM named)
+  UNION SELECT path, 'card made anew: check its paragraph', 4 FROM cards
+  UNION SELECT 'flows/' || module || '/' || key || '.md', 'uses what changed: api/' || kind || '.md', 5 FROM docs WHERE 'api/' || kind || '.md' IN (SELECT path FROM cards))
+"""
+
+
+@query(R.sql("SELECT doc, string_agg(reason, '; ' ORDER BY ord, reason) AS reasons FROM (SELECT DISTINCT doc, reason, ord FROM found WHERE doc IN (SELECT path FROM docs)) GROUP BY doc", "docs", recursive="cards AS (SELECT DISTINCT 'api/' || lang || '.md' AS path FROM documents WHERE lang IN ('de', 'fr')), " + _APP))
+def impact_app(spark, d):
+    """A change of the app: named sources, new files in known folders, and who uses changed cards."""
+    k = F.col("doc_id")
+    file = lambda n: F.concat(F.lit("src/d"), (n % 97).cast("string"), F.lit("/f"), n.cast("string"), F.lit(".ts"))
+    changes = R.table(spark, d, "labels").select(F.element_at(F.array(*map(F.lit, "AMDR")), (k % 4 + 1).cast("int")).alias("status"), file(k).alias("path"), F.when(k % 4 == 3, file(k + 5)).alias("old_path"))
+    none = F.array().cast("array<string>")
+    docs = R.docs(spark, d).select("path", F.when(F.col("key") % 3 == 0, F.array(file(F.col("key")))).otherwise(none).alias("sources"), F.array(F.concat(F.lit("api/"), "kind", F.lit(".md"))).alias("api"))
+    cards = R.table(spark, d, "documents").where("lang in ('de', 'fr')").select(F.concat(F.lit("api/"), "lang", F.lit(".md")).alias("path"), F.lit(False).alias("fresh")).distinct()
+    return impact.compute(changes, docs, "app", generated=cards).select("doc", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE contains(lower(c_name), '7')")
+def policy_count(spark, d):
+    return POLICY.count(POLICY.table(spark, "customer", d), F.lower("c_name").contains("7"))
+
+
+@query(R.sql("SELECT key, neighbor, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, neighbor) - 1 AS rank FROM pairs QUALIFY rank < 15", recursive="pairs AS (SELECT a.vec_id AS key, b.vec_id AS neighbor, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"))
+def neighbor_graph(spark, d):
+    """The fifteen nearest of each vector: the graph that a map is laid out from."""
+    return search.neighbors(R.vectors(spark, d).select("key", "vec"))
+
+
+@query("SELECT event_id AS id, ts AS \"at\", '' AS asked, 'k=' || json_extract_string(props, '$.k') AS filters, event_type = 'error' AS failed FROM events")
+def query_log(spark, d):
+    return usage.query_row(R.events(spark, d).withColumn("input", F.col("result"))).select("id", "at", "asked", "filters", "failed")
+
+
+@query(R.sql("SELECT DISTINCT 'scope' AS rule, 'fatal' AS severity, path, why AS message FROM (SELECT path, CASE WHEN key % 4 = 2 THEN 'deleted: mark it as removed instead' WHEN NOT starts_with(path, 'flows/') THEN 'file that may not be changed' END AS why FROM (SELECT key, CASE WHEN key % 5 = 0 THEN 'src/' || key || '.md' ELSE path END AS path FROM docs)) WHERE why IS NOT NULL", "docs"))
+def quality_scope(spark, d):
+    rows = R.docs(spark, d)
+    changes = rows.select(F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("key") % 4 + 1).cast("int")).alias("status"), F.when(F.col("key") % 5 == 0, F.concat(F.lit("src/"), F.col("key").cast("string"), F.lit(".md"))).otherwise(F.col("path")).alias("path"))
+    return quality.run([quality.scope(changes, "flows")])
+
+
+@query(R.sql("SELECT DISTINCT 'dangling' AS rule, 'retryable' AS severity, path, kind || ': ' || file AS message FROM (SELECT path, 'sources' AS kind, 'f' || key || '.ts' AS file, status FROM docs UNION ALL SELECT path, 'models', 'f' || key + 1 || '.ts', status FROM docs) WHERE status <> 'kaldırıldı' AND file NOT IN (SELECT 'f' || doc_id || '.ts' FROM labels)", "docs"))
+def quality_dangling(spark, d):
+    file = lambda c: F.concat(F.lit("f"), c.cast("string"), F.lit(".ts"))
+    docs = R.docs(spark, d).select("path", "status", F.array(file(F.col("key"))).alias("sources"), F.array(file(F.col("key") + 1)).alias("models"))
+    return quality.run([quality.dangling(docs, R.table(spark, d, "labels").select(file(F.col("doc_id")).alias("file")))])
+
+
+@query(R.sql("SELECT p.page_id::VARCHAR AS path, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) p LEFT JOIN docs ON key = page_id WHERE status IS DISTINCT FROM 'kaldırıldı'", "docs"))
+def live_links(spark, d):
+    """Links of pages whose document is not removed."""
+    links = R.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return quality.live_links(links, R.docs(spark, d).select(F.col("key").cast("string").alias("path"), "status"))
+
+
+@query(R.sql("""SELECT path AS doc, g AS "group" FROM docs JOIN placed USING (module)""", "docs", recursive="""
+parts AS (SELECT module, count(*) AS n, row_number() OVER (ORDER BY min(path)) AS i FROM docs GROUP BY module),
+placed(i, module, g, held) AS (SELECT i, module, 0, n FROM parts WHERE i = 1 UNION ALL SELECT p.i, p.module, CASE WHEN held + p.n > 120 THEN g + 1 ELSE g END, CASE WHEN held + p.n > 120 THEN p.n ELSE held + p.n END FROM placed JOIN parts p ON p.i = placed.i + 1)"""))
+def job_groups(spark, d):
+    """Documents packed into jobs of at most 120, a flow folder never split."""
+    return impact.plan_groups(R.docs(spark, d).select(F.col("path").alias("doc")), 120)

@@ -65,3 +65,17 @@ def read_hits(events: DataFrame, points: DataFrame, areas=("backend", "frontend"
 def last_used(events: DataFrame) -> DataFrame:
     """Per user, the minute of the last event: refreshed once a minute at most."""
     return events.groupBy("user_id").agg(F.date_trunc("minute", F.max("at")).alias("last_used"))
+
+
+def last_used_stream(events: DataFrame, target: str, checkpoint: str):
+    """``last_used`` of a stream: one row of state for each user, rewritten whole when a batch has come."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    return last_used(events).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact_rollup(spark: SparkSession, target: str, into: str) -> None:
+    """The batches summed into one table below ``into``, to read instead of them."""
+    read_rollup(spark, target).write.mode("overwrite").parquet(f"{into}/batch=0")
