@@ -78,6 +78,30 @@ def map_columns(df: DataFrame, carry: list[str], use: list[str], made: dict[str,
     return wide.mapInArrow(run, schema)
 
 
+#: Rows up to which a table, once counted, is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its number of ``rows``, which has been counted, is small."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, hot: DataFrame, carried: str, salts: int = 16) -> DataFrame:
+    """``rows`` left-joined with ``named`` (one row for each ``key``); rows of a ``hot`` key are spread by salts of ``carried``.
+
+    Only hot keys are copied for each salt. They are few, as each has many rows, and are broadcast if they are.
+    """
+    hot = materialize(hot.select(key).distinct())
+    n = hot.count()
+    if not n or n > SMALL_ROWS:
+        return rows.join(named, key, "left")
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    left = rows.join(mark, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(carried), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = named.join(mark, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))).drop("_hot")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     r"""Number of ``[^\x20\x09-\x0D]+`` in the text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

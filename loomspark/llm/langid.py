@@ -45,19 +45,22 @@ def _tables() -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigram codes of a text and their counts; runs of other characters are one boundary."""
-    table, total = _tables()[0], None
-    pieces = [text] if len(text) <= PIECE else [text[max(0, i - 2) : i + PIECE] for i in range(0, len(text), PIECE)]
-    for piece in pieces:
-        c = table[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        c = np.concatenate([[0], c, [0]]).astype(np.int32)
+    """Distinct trigram codes of a text and their counts; runs of other characters are one boundary.
+
+    Each piece begins with the last two codes of the one before, so a text has the same trigrams however it is cut.
+    """
+    table, total, tail = _tables()[0], np.zeros(CODES**3 if len(text) > PIECE else 0, np.int64), np.zeros(1, np.int32)
+    for i in range(0, len(text), PIECE):
+        piece = text[i : i + PIECE]
+        c = table[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        c = np.concatenate([tail, c, np.zeros(int(i + PIECE >= len(text)), np.int32)])
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
         t = c[:-2] << 12 | c[1:-1] << 6 | c[2:]
         t = t[c[1:-1] != 0]  # the middle is a letter: one trigram for each letter
-        if len(pieces) == 1:
+        if not len(total):
             return np.unique(t, return_counts=True)
-        got = np.bincount(t, minlength=CODES**3)
-        total = got if total is None else total + got
+        total += np.bincount(t, minlength=CODES**3)
+        tail = c[-2:]
     codes = np.flatnonzero(total)
     return codes, total[codes]
 

@@ -67,7 +67,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
     ``keep`` is an array of (word, bits) in order; line ``i`` stays if bit ``i % 64`` of word ``i div 64`` is set, or the word is left out.
     """
-    stream = materialize(sorted_stream(occurrences(docs, min_chars)))
+    stream = materialize(sorted_stream(materialize(occurrences(docs, min_chars))))
     hot = common_keys(stream, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = stream.select("h1", "h2", "salt", "doc_id", "pos").join(hot, ["h1", "h2", "salt"]).where("doc_id <> last")
     words = gone.groupBy("doc_id", F.expr("pos div 64").cast("int").alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import materialize, n_words
+from loomspark.llm.common import materialize, n_words, small
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
 HASH_BITS = 60
@@ -105,14 +105,14 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     return out
 
 
-def cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+def cuts(sized: DataFrame, wanted: DataFrame, patterns: int) -> DataFrame:
     """(pattern, cut): documents of the pattern with a hash up to ``cut`` hold about ``want`` words, as near as whole documents allow.
 
     Each step sums the words by bucket of the hash, and only the bucket in which the sum passes ``want`` is cut further.
     """
     from pyspark.sql import Window
 
-    now, state = sized.join(F.broadcast(wanted), "pattern"), []
+    now, state = sized.join(small(wanted, patterns), "pattern"), []
     for bits in (*LEVELS, 0):
         key = F.shiftright("h", bits)
         sums = now.groupBy("pattern", "want", key.alias("bucket")).agg(F.sum("size").alias("words"))
@@ -120,7 +120,7 @@ def cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         if bits:
             passed = materialize(run.where("upto >= want").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("want") - F.col("upto") + F.col("words")).alias("want")), "bucket").alias("x")))
             step = passed.select("pattern", F.col("x.bucket").alias("bucket"), F.col("x.want").alias("rest"))
-            now = now.withColumn("bucket", key).join(F.broadcast(step), ["pattern", "bucket"]).select("pattern", "h", "size", F.col("rest").alias("want"))
+            now = now.withColumn("bucket", key).join(small(step, patterns), ["pattern", "bucket"]).select("pattern", "h", "size", F.col("rest").alias("want"))
         else:
             # the last bucket's documents one by one: the cut is before or after the one that passes, whichever is nearer
             near = run.withColumn("off", F.least(F.abs(F.col("want") - F.col("upto")), F.lit((1 << 62)))).where("upto - words < want")
@@ -157,10 +157,10 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
     plan = [(r.pattern, g // r.words if r.words else 0, g % r.words if r.words else 0, size[m[0]], target[m[0]]) for r, g, m in zip(rows, given, members, strict=True)]
     schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("passes", T.LongType()), T.StructField("want", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     told = spark.createDataFrame(plan, schema)
-    cut = cuts(sized.select("pattern", "h", "size"), told.where("want > 0").select("pattern", "want"))
-    told = told.join(F.broadcast(cut), "pattern", "left").drop("want")
+    cut = cuts(sized.select("pattern", "h", "size"), told.where("want > 0").select("pattern", "want"), len(plan))
+    told = told.join(small(cut, len(plan)), "pattern", "left").drop("want")
     taken = F.col("size") * (F.col("passes") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0))
     # one row for each pattern: the plan has been on the driver already
     if keep_text:
         sized, carried = docs.select(*carried, "text", *worked), [*carried, "text"]
-    return sized.join(F.broadcast(told), "pattern", "left").select(*carried, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return sized.join(small(told, len(plan)), "pattern", "left").select(*carried, "size", "source_size", "target", taken.cast("long").alias("taken"))

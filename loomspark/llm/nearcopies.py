@@ -5,8 +5,9 @@ through the trie self-join of ``simhash.group_links``; nodes of a star within it
 bits of 64 or so, and a trie over so wide a budget visits all pairs; so wider links come from ``BANDS`` keys of ``ROWS`` minwise values each:
 nodes that share a key are candidates, and a pair at a similarity of 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5. Of these
 candidates, pairs whose fingerprints differ in more than ``WIDE`` bits are left out at once (at 0.8, 10 of 64 bits are expected; over 28 is
-out of reach). Candidates' connected groups are met by their texts once, in one task for each group: pairs that share a key and aren't
-linked yet are compared exactly, so a group of many near copies takes about as many comparisons as it has texts.
+out of reach). Candidates' connected groups are met by their texts: pairs that share a key and aren't linked yet are compared exactly, so a
+group of many near copies takes about as many comparisons as it has texts. A group of more than ``PART`` texts is dealt to several tasks, each of which
+has the group's first text too; only groups that stay apart then are met whole, and there only components that aren't linked are compared.
 
 Defined results: components are those of all links (pairs of a similarity of at least ``SIMILARITY``). A text of fewer words than a
 shingle is one shingle, and texts without words (null also) are equal; rows with the same ``doc_id`` are one node; with ``doc_id`` null a
@@ -23,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import components, map_columns, materialize
-from loomspark.llm.simhash import group_links, signed
+from loomspark.llm.common import components, join_named, map_columns, materialize
+from loomspark.llm.simhash import HOT, group_links, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, WIDE = 24, 5, 28
+PART = 512  # texts of a group of candidates that one task meets at first
 AT_ONCE = 1024  # shingles whose minwise values are taken at once
 _DRAWN = np.random.default_rng(11)
 _WORD, _TIMES, _KEY = (_DRAWN.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (64, BANDS * ROWS, BANDS * ROWS))
@@ -81,8 +83,11 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return met / (len(both) - met) >= similarity
 
 
-def links(sets: Iterator[tuple[int, np.ndarray, list[int]]], similarity: float) -> list[tuple[int, int]]:
-    """Links that join the nodes of a group of candidates into the components of all its links. ``sets``: node, its set, keys beside its bands'."""
+def links(sets: Iterator[tuple[int, np.ndarray, list[int], int]], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the nodes of a group of candidates into the components of all its links.
+
+    ``sets``: node, its set, keys beside its bands', and the component that it is known to belong to (itself, if none is).
+    """
     root: dict[int, int] = {}
     held: dict[int, dict[int, list[tuple[np.ndarray, int]]]] = {}  # key: {component: sets and fingerprints}
     out = []
@@ -93,8 +98,9 @@ def links(sets: Iterator[tuple[int, np.ndarray, list[int]]], similarity: float)
             x = root[x]
         return x
 
-    for node, values, more in sets:
-        root.setdefault(node, node)
+    for node, values, more, known in sets:
+        root.setdefault(known, known)
+        root.setdefault(node, find(known))
         keys, tried, print_ = band_keys(values).tolist() + more, set(), bits(values)
         for key in keys:
             bucket = held.setdefault(key, {})
@@ -119,6 +125,31 @@ def links(sets: Iterator[tuple[int, np.ndarray, list[int]]], similarity: float)
     return out
 
 
+def group_edges(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): verified links in each group of ``texts`` (root, part, doc_id, text, more, known)."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("root", "part", "doc_id", "text", "more", "known").repartition(n, "root", "part").sortWithinPartitions("root", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def told() -> pa.RecordBatch:
+            found = links(held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for root, part, node, text, more, known in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if (root, part) != now and held:
+                    yield told()
+                    held = []
+                now = root, part
+                held.append((node, shingles(text, shingle), more or [], known))
+        if held:
+            yield told()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, component_id) of each row."""
 
@@ -128,7 +159,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     prints = materialize(map_columns(docs, ["doc_id"], ["text"], {"digest": "long", "fp": "long", "keys": "array<long>"}, made))
     known = prints.where("doc_id is not null")
-    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
     # the trie's stars, and nodes of equal fingerprints
@@ -139,34 +170,23 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     groups = materialize(components(found))
     more = stars.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("star")).groupBy("node").agg(F.collect_set("star").alias("more"))
     texts = docs.select("doc_id", "text").join(groups.join(more, "node", "left").select(F.col("node").alias("doc_id"), "root", "more"), "doc_id")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("root", "doc_id", "text", "more").repartition(n, "root").sortWithinPartitions("root")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-
-        def told() -> pa.RecordBatch:
-            found = links(held, similarity)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            for root, node, text, own in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if root != now and held:
-                    yield told()
-                    held = []
-                now = root
-                held.append((node, shingles(text, shingle), own or []))
-        if held:
-            yield told()
-
-    edges = dealt.mapInArrow(run, "a long, b long")
+    # large groups go in parts, each with the group's first text, which links most of them; what is still apart meets in one task
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    texts = texts.join(sizes, "root").withColumn("known", F.col("doc_id"))
+    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    spread = texts.withColumn("part", F.explode(F.when(F.col("doc_id") == F.col("root"), all_parts).otherwise(own)))
+    edges = materialize(group_edges(spread, shingle, similarity))
+    if sizes.where("parts > 1").head(1):
+        part_of = components(edges)
+        placed = groups.join(sizes.where("parts > 1"), "root").join(part_of.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+        apart = placed.groupBy("root").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("root")
+        again = texts.drop("known").join(apart, "root").join(placed.select(F.col("node").alias("doc_id"), "known"), "doc_id").withColumn("part", F.lit(0))
+        edges = edges.unionByName(group_edges(again, shingle, similarity))
     # rows that share a doc_id but not a text tie their sets together
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     tied = known.join(twice, "doc_id").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(edges.unionByName(tied))
     named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    # a set of many copies is met once here: salts spread its rows
-    salts = 16
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = prints.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(named, ["digest", "salt"], "left")
+    joined = join_named(prints.select("doc_id", "digest"), named, "digest", nodes.where(F.col("n") > HOT).select("digest"), "doc_id")
     return joined.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import components, map_columns, materialize
+from loomspark.llm.common import components, join_named, map_columns, materialize
 
 SHINGLE, BUDGET = 3, 2
+HOT = 1024  # rows of one fingerprint from which its join is salted
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -154,15 +155,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BU
     """(doc_id, fp, component_id) of each row."""
     prints = materialize(fingerprints(docs, shingle))
     known = prints.where("doc_id is not null")
-    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     edges = group_links(nodes, budget)
     # rows that share a doc_id but not a text tie their fingerprints together
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     tied = known.join(twice, "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(edges.unionByName(tied))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    # a fingerprint of many copies is met once here: salts spread its rows
-    salts = 16
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(named, ["fp", "salt"], "left")
+    joined = join_named(prints, named, "fp", nodes.where(F.col("n") > HOT), "doc_id")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
