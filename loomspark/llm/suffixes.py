@@ -4,9 +4,8 @@ All suffixes of a corpus are far more than what is worth sorting, so the sort is
 
 1. Each ``WIDTH``-byte window names an anchor: the smallest hashed ``GRAM``-gram in it, the leftmost if equal. Equal windows
    name equal anchors at equal places, so windows are compared only where anchors agree. Neighbouring windows of one anchor
-   form a stretch of text; a task returns (anchor, hash of the stretch) once for each stretch that it meets, and the later ones as removed.
-2. Dealt by anchor, equal stretches leave all but the first; an anchor with one stretch is done. Only stretches that share
-   an anchor but differ elsewhere go on: they are the edges of repeated passages.
+   form a stretch of text. Equal stretches that one task meets collapse: the earliest stands for all, the later ones are removed.
+2. Dealt by anchor, a stretch whose anchor stands nowhere else is done. All others go on, whether they are equal or not.
 3. Of these, the suffix that starts at the anchor is sorted by a merge sort over tasks: each task sorts its own and writes
    front-coded runs (length of the prefix common with the string before, and the rest). Runs are cut at splitters from a sample
    of fixed size and exchanged; a loser tree that keeps, for each run, how much its head has in common with the last winner
@@ -176,39 +175,26 @@ def met(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 
 
 def dealt(found: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Step 2. (doc_id, start, size, off): removed ranges with ``off`` -1 and their stop as size, and the stretches that go on."""
+    """Step 2. (doc_id, start, size, off): what the tasks removed, with ``off`` -1 and the stop as size, and the stretches that go on: those whose anchor stands elsewhere too."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(n, "key").sortWithinPartitions("key", "sh", "doc_id", "start")
-
-    def decide(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        passed = t["off"] < 0
-        yield rows(doc_id=t["doc_id"][passed], start=t["start"][passed], size=t["size"][passed], off=t["off"][passed])
-        key, sh, doc, start, size, off = (v[~passed] for v in t.values())
-        if not len(key):
-            return
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        first = new_key | np.concatenate([[True], sh[1:] != sh[:-1]])
-        group = np.cumsum(new_key) - 1
-        unsure = first & (np.bincount(group, first)[group] > 1)
-        gone = ~first & ~itself(first, doc, start)
-        d, a, z = merged(doc[gone], start[gone], (start + size)[gone] + width - 1)
-        yield rows(doc_id=d, start=a, size=z, off=np.full(len(d), -1))
-        yield rows(doc_id=doc[unsure], start=start[unsure], size=size[unsure], off=off[unsure])
+    ordered = found.repartition(n, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        most = 200_000
+        # neighbours of the sorted stream tell whether an anchor stands twice; the last row waits for the next batch
+        names, last, was = ("doc_id", "start", "size", "off"), None, False
         for b in batches:
-            for name in b.schema.names:
-                held.setdefault(name, []).append(b.column(name).to_numpy(zero_copy_only=False))
-            if sum(map(len, held["key"])) >= most:
-                whole = {k: np.concatenate(v) for k, v in held.items()}
-                cut = int(np.searchsorted(whole["key"], whole["key"][-1]))  # the last key may go on
-                yield from decide({k: v[:cut] for k, v in whole.items()})
-                held = {k: [v[cut:]] for k, v in whole.items()}
-                most = max(200_000, 2 * len(held["key"][0]))  # a key of many rows is put together few times
-        if held:
-            yield from decide({k: np.concatenate(v) for k, v in held.items()})
+            t = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", *names)}
+            passed = t["off"] < 0
+            yield rows(**{k: t[k][passed] for k in names})
+            t = {k: v[~passed] if last is None else np.concatenate([last[k], v[~passed]]) for k, v in t.items()}
+            if not len(t["key"]):
+                continue
+            same = t["key"][1:] == t["key"][:-1]
+            shared = (np.concatenate([[was], same]) | np.concatenate([same, [False]]))[:-1]
+            yield rows(**{k: t[k][:-1][shared] for k in names})
+            last, was = {k: v[-1:] for k, v in t.items()}, bool(same[-1]) if len(same) else was
+        if last is not None and was:
+            yield rows(**{k: last[k] for k in names})
 
     return ordered.mapInArrow(run, "doc_id long, start long, size long, off long")
 
