@@ -55,7 +55,7 @@ def parsed(df: DataFrame, mode: str = "permissive", text: str = "text") -> DataF
     rows = frontmatter(df, text).withColumn("_f", read("head"))
     rows = rows.withColumns({"meta": F.col("_f.meta"), "_error": F.col("_f.error"), "body": F.when(F.col("_f.error").isNull(), F.col("body")).otherwise(F.col(text))}).drop("_f", "head")
     if mode == "failfast":
-        rows = rows.withColumn("meta", F.when(F.col("_error").isNotNull(), F.raise_error("_error")).otherwise(F.col("meta")))
+        rows = rows.withColumn("meta", F.when(F.col("_error").isNotNull(), F.raise_error(F.col("_error"))).otherwise(F.col("meta")))
     return rows
 
 

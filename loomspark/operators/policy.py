@@ -67,7 +67,9 @@ class Policy:
                 return F.transform(col, lambda x: clean(x, kind.elementType))
             return col
 
-        return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not self._re.search(f.name)))
+        kept = df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not self._re.search(f.name)))
+        # without a name of its own, filters and sorts could still reach the columns below
+        return kept.alias("visible")
 
     def _refused(self, made):
         """Names that are denied aren't there any more; a query that needs one is refused."""
