@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this driver has written and not released.
+WRITTEN: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, one below the warehouse, or a temporary one in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +29,18 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again: cuts lineage."""
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """``df`` written as Parquet and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables written so far, once no result that reads them is needed any more; returns how many."""
+    paths, n = spark._jvm.org.apache.hadoop.fs.Path, len(WRITTEN)
+    while WRITTEN:
+        path = paths(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
