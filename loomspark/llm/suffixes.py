@@ -201,7 +201,14 @@ def dealt(found: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, at least ``known``."""
+    if a == b:
+        return len(a)
     n = min(len(a), len(b))
+    near = min(n, known + 16)
+    if near < n and a[known:near] == b[known:near]:
+        known = near
+    else:
+        n = near  # the difference is close by
     x = int.from_bytes(a[known:n], "big") ^ int.from_bytes(b[known:n], "big")
     return n - ((x.bit_length() + 7) >> 3)
 
@@ -230,6 +237,19 @@ def decoded(run: dict) -> tuple[list[int], list[tuple[bytes, bytes, int, int]]]:
     return run["lcp"], strings
 
 
+def decoded_table(t: pa.Table) -> list[tuple[list[int], list[tuple[bytes, bytes, int, int]]]]:
+    """``decoded`` of all rows; numbers leave Arrow column by column."""
+    columns = {}
+    for name, _ in _RUN_FIELDS:
+        c = t[name].combine_chunks() if isinstance(t[name], pa.ChunkedArray) else t[name]
+        if pa.types.is_list(c.type):
+            cut, flat = c.offsets.to_numpy().tolist(), c.values.to_numpy().tolist()
+            columns[name] = [flat[a:b] for a, b in zip(cut, cut[1:])]
+        else:
+            columns[name] = c.to_pylist()
+    return [decoded(dict(zip(columns, row))) for row in zip(*columns.values())]
+
+
 def batch_of(made: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(made, schema=schema)
 
@@ -329,6 +349,29 @@ def repeated(group: list[tuple[bytes, bytes, int, int]], shared: list[int], widt
     anchors agree for ``b``. In a small group each two strings are met; in a large one, for each ``b``, runs of suffixes and runs of the
     reversed bytes before them name the window, and all but the earliest of each name go.
     """
+    # copies of one stretch: all but the earliest go whole, and the earliest stands for them
+    at: dict[tuple[bytes, bytes], int] = {}
+    kept: list[tuple[bytes, bytes, int, int]] = []
+    between: list[int] = []
+    least = 0
+    for own, prefix in zip(group, shared):
+        least = min(least, prefix)
+        suffix, before, doc, start = own
+        k = at.setdefault((suffix, before), len(kept))
+        if k == len(kept):
+            kept.append(own)
+            between.append(least)
+            least = width + len(suffix)
+        elif (doc, start) != kept[k][2:]:
+            doc, start = max((doc, start), kept[k][2:])
+            kept[k] = suffix, before, *min(own[2:], kept[k][2:])
+            yield doc, start, start + len(before) + len(suffix)
+    if len(kept) > 1:
+        yield from overlapping(kept, between, width)
+
+
+def overlapping(group: list[tuple[bytes, bytes, int, int]], shared: list[int], width: int) -> Iterator[tuple[int, int, int]]:
+    """``repeated`` of different stretches."""
     place = [(doc, start + len(before)) for _, before, doc, start in group]
     if len(group) <= SMALL_GROUP:
         for i in range(len(group)):
@@ -371,8 +414,7 @@ def edges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int32()), *_RUN_FIELDS])
         for b in batches:
-            for r in b.to_pylist():
-                _, strings = decoded(r)
+            for _, strings in decoded_table(pa.Table.from_batches([b])):
                 ends = [bisect.bisect_left(strings, (s,)) for s in splits] + [len(strings)]
                 a = 0
                 for k, z in enumerate(ends):
@@ -384,7 +426,7 @@ def edges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         group: list[tuple] = []
         shared: list[int] = []
-        for h, s in LoserTree([decoded(r) for r in t.to_pylist()]):
+        for h, s in LoserTree(decoded_table(t)):
             if h < gram:
                 if len(group) > 1:
                     out += repeated(group, shared, width)
