@@ -7,7 +7,9 @@ For each pattern the flow says how many words it gives. Documents are then chose
 pattern's documents at once for each full pass, and for the rest the documents up to a cut. The cut is found by summing
 buckets of hash values, and again inside the bucket that holds it, so no group of a source's size is ever sorted.
 
-What reaches the driver is one row for each pattern and source (metadata of the mix, not documents).
+What reaches the driver is one row for each pattern and source (metadata of the mix, not documents), and the flow is solved there: fit for up to
+some hundred thousand patterns. A pattern's bucket sums, 4,096 at most, meet in one task. The document that passes the cut is taken if that
+is at least as near to what is wanted as leaving it; documents of one hash are taken together.
 
 Defined results: null texts have size 0 and are taken 0 times; a null source is a source of its own, ordered last; an empty table
 gives an empty mix; repeated rows are told apart by nothing and are taken or left together. Other columns are carried.
