@@ -313,6 +313,9 @@ class Codec:
         return self.decoder.text(ids).encode("utf-8", "surrogatepass")
 
 
+_USUAL = gc.get_threshold()
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str, states: int, words: int) -> Codec:
     """One for each worker process; the vocabulary file is read where the worker runs.
@@ -324,7 +327,15 @@ def codec(path: str, pattern: str, states: int, words: int) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, states, words)
 
 
-RELEASED.append(codec.cache_clear)
+def _release() -> None:
+    """A codec and its words refer to each other, so it takes the collector to free them."""
+    if codec.cache_info().currsize:
+        codec.cache_clear()
+        gc.set_threshold(*_USUAL)
+        gc.collect()
+
+
+RELEASED.append(_release)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False, states: int = MOST_STATES, words: int = MOST_WORDS) -> DataFrame:
