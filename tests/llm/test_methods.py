@@ -138,7 +138,7 @@ def test_html_takes_time_by_length():
         return time.process_time() - began
 
     for piece in ("<div>", '<a "', '<a x="', "<p><button><div>", "</b>", "<!--", "<li>x"):
-        assert took(piece * 20_000) < 40 * max(took(piece * 1_000), 0.01), piece
+        assert took(piece * 20_000) < 100 * max(took(piece * 1_000), 0.01), piece  # a square would be 400
 
 
 # --- licences
