@@ -97,7 +97,8 @@ def fit(docs: DataFrame, usable: Column | None = None, max_per_lang: int = MAX_P
                 p = profile(text)
                 if p is not None:
                     total[lang] = total.get(lang, 0) + np.round(p * (1 << 20)).astype(np.int64)  # whole numbers: sums agree in any order
-        yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
+        if total:  # a frame without rows has no lists for Arrow to go by
+            yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "v": [np.sum(np.stack(pdf.v.to_list()), 0).tolist()]})
