@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [counts(t)[1] for t in pdf.text], "quality": pdf.quality.astype(float)})
+            if len(pdf):
+                yield pd.DataFrame({"x": [counts(t)[1] for t in pdf.text], "quality": pdf.quality.astype(float)})
 
     got = rows.mapInPandas(features, "x array<double>, quality double").toPandas()
     if got.quality.nunique() < 2:
