@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import ann, bpe, htmltree, langid, licenses, linededup, mixing, nearcopies, quality, suffixes
+from loomspark.llm import ann, bpe, htmltree, langid, licenses, linededup, mixing, nearcopies, quality, simhash, suffixes
 from test_nearcopies import SCHEMA, brute, planted
 
 
@@ -53,6 +53,14 @@ def test_large_groups_in_parts(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_hot_fingerprints_are_salted(spark, monkeypatch):
+    docs = spark.createDataFrame([*planted(), *((2000 + i, planted()[6][1], "en", "a", 1) for i in range(40))], SCHEMA)
+    told = lambda: sorted((r.doc_id is None, r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(docs).collect())
+    plain = told()
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert told() == plain and len({c for _, i, _, c in plain if i is not None and i >= 2000}) == 1
+
+
 # --- html
 
 
