@@ -25,16 +25,58 @@ AREA_LABELS = {"backend": None, "frontend": "Frontend", "mac-motoru": "Maç moto
 CARD_SECTION, NO_HEADING, ALIASES, GAP = "Ne yapar", "giriş", "Eş anlamlılar: ", " › "
 
 
+def plain_head(head: str) -> object:
+    """What simple heads say, where PyYAML is not installed: ``key: value`` lines, [a, b] lists and - item lists; a ValueError for others."""
+    import json
+    import re
+
+    def value(text: str) -> object:
+        text = text.strip()
+        if text[:1] in "[{" and text[:1]:
+            if not (text.startswith("[") and text.endswith("]")):
+                raise ValueError(f"not understood: {text[:40]}")
+            return [value(x) for x in text[1:-1].split(",") if x.strip()]
+        if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+            return text[1:-1]
+        if text in ("", "~", "null"):
+            return None
+        if text in ("true", "false") or re.fullmatch(r"-?\d+(\.\d+)?", text):
+            return json.loads(text)
+        return text
+
+    found: dict[str, object] = {}
+    items, last = [], None
+    for line in head.split("\n"):
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if m := re.fullmatch(r"\s*-\s+(.*)", line):
+            items.append(value(m[1]))
+            if last is not None:
+                found[last] = items
+            continue
+        m = re.fullmatch(r"([^\s:][^:]*):(?:\s+(.*))?", line)
+        if not m:
+            raise ValueError(f"not understood: {line[:40]}")
+        last, items = m[1].strip(), []
+        found[last] = value(m[2] or "")
+    return found or items or None
+
+
 def front_json(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """YAML heads as JSON objects; what is no YAML or no mapping gives an error text instead. Needs PyYAML where the workers run."""
+    """YAML heads as JSON objects; what is no YAML or no mapping gives an error text instead. By PyYAML where the workers have it, else by ``plain_head``."""
     import json
 
-    import yaml
+    try:
+        import yaml
+    except ImportError:
+        load, wrong = plain_head, ValueError
+    else:
+        load, wrong = yaml.safe_load, yaml.YAMLError
 
     def one(head: str | None) -> tuple[str, str | None]:
         try:
-            meta = yaml.safe_load(head) if head else {}
-        except yaml.YAMLError as e:
+            meta = load(head) if head else {}
+        except wrong as e:
             return "{}", f"frontmatter: {str(e).splitlines()[0]}"
         if meta is None:
             return "{}", None

@@ -30,6 +30,14 @@ def test_lenient_and_strict_loading(spark):
         corpus_of(spark, "failfast").collect()
 
 
+def test_heads_without_a_yaml_library():
+    assert chunks.plain_head("type: flow\nn: 3\naliases: [a, 'b c']\nsources:\n  - x.ts\n  - y.ts\n# no\nempty:\n") == {"type": "flow", "n": 3, "aliases": ["a", "b c"], "sources": ["x.ts", "y.ts"], "empty": None}
+    assert chunks.plain_head("- 1\n- 2") == [1, 2] and chunks.plain_head("") is None
+    for broken in ("a: [1", "no colon"):
+        with pytest.raises(ValueError, match="not understood"):
+            chunks.plain_head(broken)
+
+
 def test_chunks(spark):
     rows = {r.id: r for r in chunks.build_chunks(corpus_of(spark), "Frontend").collect()}
     assert {"flows/pvp/daily.md#giriş", "flows/pvp/daily.md#Rules", "flows/pvp/daily.md#Rules › Detail#1", "flows/pvp/daily.md#Rules › Detail#2", "usecases/pvp/join.md#Ne yapar"} <= set(rows)
