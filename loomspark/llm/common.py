@@ -28,6 +28,15 @@ RELEASED: list[Callable[[], None]] = []
 _last_stage: list[int | None] = [None]
 
 
+def release_old() -> None:
+    """Called in a task: frees what the last stage's operators kept in this worker, once a stage."""
+    stage = TaskContext.get().stageId()
+    if _last_stage[0] != stage:
+        for release in RELEASED:
+            release()
+        _last_stage[0] = stage
+
+
 def map_columns(df: DataFrame, carry: list[str], use: list[str], made: dict[str, str], fn: Callable) -> DataFrame:
     """Append columns that Python computes from whole Arrow batches.
 
@@ -38,11 +47,7 @@ def map_columns(df: DataFrame, carry: list[str], use: list[str], made: dict[str,
     schema = ", ".join([f"{c} {wide.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} {t}" for c, t in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stage = TaskContext.get().stageId()
-        if _last_stage[0] != stage:
-            for release in RELEASED:
-                release()
-            _last_stage[0] = stage
+        release_old()
         for b in batches:
             new = fn(*(b.column(c).to_pylist() for c in use))
             arrays = [b.column(c) for c in carry] + [pa.array(v, ARROW[t]) for v, t in zip(new, made.values(), strict=True)]

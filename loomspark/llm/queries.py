@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import ann, bpe, htmltree, langid, licenses, linededup, mixing, quality, simhash, suffixes
+from loomspark.llm import ann, bpe, divergence, htmltree, langid, licenses, linededup, mixing, packing, quality, simhash, suffixes, vectorcodes
 from loomspark.llm.common import table
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -166,9 +166,91 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """The rounds one after the other: assignment by all distances, then means."""
+    assign = """assigned{r} AS (
+  SELECT row, vec_id, label, part, any_value(x) AS x, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts p JOIN books{r} b USING (part)) GROUP BY row, vec_id, label, part
+)"""
+    means = """sums{r} AS (
+  SELECT part, entry, pos, sum(v)::BIGINT AS s, count(*) AS n
+  FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM assigned{r}) GROUP BY ALL
+), books{next} AS (
+  SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM books{r} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS e FROM sums{r} GROUP BY part, entry) m USING (part, entry)
+)"""
+    steps = [assign.format(r=r) + (", " + means.format(r=r, next=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT row, vec_id, label, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM kept, range(4) AS r(part)
+), books0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM parts QUALIFY entry < 256
+), {", ".join(steps)}, coded AS (
+  SELECT row, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM assigned{rounds} GROUP BY row, vec_id, label
+), hashed AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, hashed
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM read
+), counted AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM words GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS size FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM read
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), sized AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size FROM full_counts
+), p AS (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000::HUGEINT * (s.n + 5)) // (s.size + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.n + 5)) // (l.size + 5 * l.v)::HUGEINT AS q
+  FROM sized s JOIN langs l USING (lang) JOIN kept k USING (lang, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), told AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_line_dedup": OP6_SQL, "op12_vector_codes": _op12_sql(), "op13_source_divergence": OP13_SQL}
