@@ -1,4 +1,4 @@
-"""Incremental index: hash diff, embedding only what is new, versioned upsert."""
+"""Incremental index: hash diff, embedding only what is new, an upsert of the buckets that changed."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import buckets
+from loomspark.sources import manifest
+from loomspark.sources.scratch import written
 
 BATCH = 64
 
@@ -89,37 +92,45 @@ def embed_questions(questions: DataFrame, embedder: Callable, known: DataFrame |
 
 
 #: Raised when the layout of the state folder changes, which forces a pass.
-SCHEMA = "2"
+SCHEMA = "3"
 
 
-def sync(current: DataFrame, state: str, embedder: Callable, commit: str, model: str = "", dimension: int = 0, docs: DataFrame | None = None) -> dict[str, int]:
-    """One idempotent step over a state folder: embeds missing hashes, replaces the ledger, drops dead vectors, and moves the stamp last.
+def sync(current: DataFrame, state: str, embedder: Callable, commit: str, model: str = "", dimension: int = 0, docs: DataFrame | None = None, expect: int | None = None) -> dict[str, int]:
+    """One idempotent step over a state folder of ``buckets``: embeds missing hashes, brings the ledger up to date, drops dead vectors, and commits all at once.
 
-    ``current``: (id, hash, embed_text). Each step writes a new version; the stamp names the one that is valid. Another model or dimension
-    than the stamp's makes everything anew (``rebuilt``). Vectors stay if only the ledger is lost. With ``docs`` (path, hash, ...) the full documents
-    are stored too, and counted as ``docs_written`` and ``docs_removed``.
+    ``current``: (id, hash, embed_text). Only the buckets of changed rows are written anew; the manifest that names them is the stamp, and a writer that was
+    overtaken since it read (or since version ``expect``) raises ``LostRace`` and has changed nothing. Another model or dimension than the stamp's makes
+    everything anew (``rebuilt``). Vectors stay if only the ledger is lost. With ``docs`` (path, hash, ...) the full documents are stored too, and counted as
+    ``docs_written`` and ``docs_removed``.
     """
     spark = current.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
-    exists = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/stamp"))
-    shape = "version long, commit string, schema string, model string, dimension long"
-    stamp = spark.read.schema(shape).json(f"{state}/stamp").orderBy(F.desc("version")).first() if exists else None
-    version = stamp.version if exists else 0
-    rebuilt = bool(exists and ((stamp.model or ""), (stamp.dimension or 0)) != (model, dimension))
-    empty_ledger, empty_store = spark.createDataFrame([], "id string, hash string"), spark.createDataFrame([], "key string, vec array<double>")
-    has = lambda name: exists and not rebuilt and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{name}/v={version}"))
-    ledger = spark.read.parquet(f"{state}/ledger/v={version}") if has("ledger") else empty_ledger
-    store = spark.read.parquet(f"{state}/store/v={version}") if has("store") else empty_store
-    counts = {r.state: r.n for r in diff(current, ledger).groupBy("state").agg(F.count("*").alias("n")).collect()}
-    todo = missing(current, store).join(current.select("hash", "embed_text").dropDuplicates(["hash"]), "hash")
+    version, content = manifest.read(spark, state, expect)
+    stamp = content.get("note", {})
+    rebuilt = bool(version and (stamp.get("model", ""), stamp.get("dimension", 0)) != (model, dimension))
+    shapes = {"ledger": "id string, hash string", "store": "key string, vec array<double>"}
+    known = {n: spark.createDataFrame([], s) if rebuilt else buckets.table(spark, state, n, version, s) for n, s in shapes.items()}
+    states = written(diff(current, known["ledger"]))
+    counts = {r.state: r.n for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
+    todo = missing(current, known["store"]).join(current.select("hash", "embed_text").dropDuplicates(["hash"]), "hash")
     made = embed(todo, "hash", "embed_text", embedder).select("key", "vec")
-    retain(store, current).unionByName(made).write.mode("overwrite").parquet(f"{state}/store/v={version + 1}")
-    current.select("id", "hash").write.mode("overwrite").parquet(f"{state}/ledger/v={version + 1}")
+    changed = current.select("id", "hash").join(states.where("state in ('added', 'changed')").select("id"), "id", "left_semi")
+    dead = known["store"].select("key").join(current.select(F.col("hash").alias("key")), "key", "left_anti")
+    changes = {
+        "ledger": buckets.Change("id", changed, states.where("state = 'removed'").select("id"), rebuilt),
+        "store": buckets.Change("key", made, dead, rebuilt),
+    }
     out = {k: counts.get(k, 0) for k in ("added", "changed", "removed", "same")}
     if docs is not None:
-        known = spark.read.parquet(f"{state}/docs/v={version}").select("path", "hash") if has("docs") else spark.createDataFrame([], "path string, hash string")
-        states = {r.state: r.n for r in diff(docs, known, "path").groupBy("state").agg(F.count("*").alias("n")).collect()}
-        docs.write.mode("overwrite").parquet(f"{state}/docs/v={version + 1}")
-        out |= {"docs_written": states.get("added", 0) + states.get("changed", 0), "docs_removed": states.get("removed", 0)}
-    spark.createDataFrame([(version + 1, commit, SCHEMA, model, dimension)], shape).write.mode("append").json(f"{state}/stamp")
+        old = buckets.table(spark, state, "docs", version, _ddl(docs))
+        old = spark.createDataFrame([], old.schema) if rebuilt else old
+        told = written(diff(docs, old, "path"))
+        moved = {r.state: r.n for r in told.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        new = docs.join(told.where("state in ('added', 'changed')").select("path"), "path", "left_semi")
+        changes["docs"] = buckets.Change("path", new, told.where("state = 'removed'").select("path"), rebuilt)
+        out |= {"docs_written": moved.get("added", 0) + moved.get("changed", 0), "docs_removed": moved.get("removed", 0)}
+    buckets.change(spark, state, changes, {"commit": commit, "schema": SCHEMA, "model": model, "dimension": dimension}, version)
     return out | ({"rebuilt": 1} if rebuilt else {})
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

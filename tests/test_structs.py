@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chunks, facts, graph, index, layout, structs
-from loomspark.sources import corpus
+from loomspark.operators import buckets, chunks, facts, graph, index, layout, structs
+from loomspark.sources import corpus, manifest
 from loomspark.streaming import rollup as streams
 
 ATTR = """package ai
@@ -161,12 +161,12 @@ def test_corpus_sync_and_read_hits(spark, tmp_path):
     def sync():
         docs = spark.readStream.schema("id string, embed_text string").parquet(f"{tmp_path}/docs")
         streams.corpus_sync(docs, whole, f"{tmp_path}/state", f"{tmp_path}/cp", index.hash_embedder(8)).awaitTermination()
-        return spark.read.json(f"{tmp_path}/state/stamp").agg(F.max("version")).first()[0]
+        return manifest.read(spark, f"{tmp_path}/state")[0]
 
     put(0, ["a", "b"])
     assert sync() == 1 and sync() == 1
     put(1, ["c"])
-    assert sync() == 2 and spark.read.parquet(f"{tmp_path}/state/store/v=2").count() == 3
+    assert sync() == 2 and buckets.table(spark, f"{tmp_path}/state", "store").count() == 3
 
     points = spark.createDataFrame([(1, "backend", "a.md"), (2, "frontend", "a.md"), (3, "backend", "a.md")], "key long, area string, path string")
     events = spark.createDataFrame([(1, 0, "read_doc", "./a"), (2, 0, "read_doc", "frontend/a.md"), (3, 0, "search", "a"), (4, 0, "read_doc", None), (5, 0, "read_doc", " ")], "id long, at long, tool string, text string")
