@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.scratch import written
 
-TREES, LEAF, JOINED, BUCKET = 6, 256, 14, 2048
+TREES, LEAF, JOINED, BUCKET = 6, 256, 24, 2048
 LEAST_CHANGE, MOST_ROUNDS = 0.002, 15
 LISTS = "bucket int, id long, near array<long>, score array<float>, fresh array<boolean>"
 PROPOSED = "bucket int, id long, near long, score float"
@@ -50,7 +50,7 @@ def _best(own: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> np.nd
     o, n = own[order], near[order]
     # one pair has one score, up to the last bit: equal pairs are looked for by number
     by_pair = np.lexsort((np.arange(len(o)), n, o))
-    twice = np.r_[False, (o[by_pair][1:] == o[by_pair][:-1]) & (n[by_pair][1:] == n[by_pair][:-1])]
+    twice = np.r_[False, (o[by_pair][1:] == o[by_pair][:-1]) & (n[by_pair][1:] == n[by_pair][:-1])][: len(o)]
     keep = np.ones(len(o), bool)
     keep[by_pair[twice]] = False
     order, o = order[keep], o[keep]
@@ -190,7 +190,7 @@ def _grid(values: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, wid
 
 def descend(vectors: DataFrame, k: int = 15, wide: int | None = None, trees: int = TREES, joined: int = JOINED, seed: int = 7, least_change: float = LEAST_CHANGE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(key, neighbor, score, rank): about the ``k`` nearest other vectors (key, vec) of each by cosine. Lists are ``wide`` while they are worked on, so that more are found."""
-    wide = wide or 2 * k + 10
+    wide = wide or 4 * k
     nodes, n, d = nodes_of(vectors)
     key_type = vectors.schema["key"].dataType.simpleString()
     if n < 2:
