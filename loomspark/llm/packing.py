@@ -13,7 +13,7 @@ What remains is packed best-fit, longest first, by classes of equal room. The re
 thousand rows by the number of lengths; tasks look up each piece's rank among those of its length in it.
 
 Ranks are dealt by buckets of hashes, so that a length which a third of all pieces have is numbered in many tasks. Tokens are met once, in the tasks
-that read the texts: a word's ids don't depend on its neighbours, so words are encoded once for each memory of ``WORDS`` words, many at a time.
+that read the texts: a word's ids don't depend on its neighbours, so they are remembered, up to ``WORDS`` words; new words consist mostly of known runs of letters.
 
 Defined results: a null or empty text has the closing id alone; rows without a doc_id and repeated rows are documents like any other; an empty table gives
 an empty result; other columns are not read. A very long text is read a stretch at a time. Which of several pieces of one length goes where is decided by
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,11 +37,16 @@ from loomspark.llm.common import RELEASED, materialize, release_old
 
 CAPACITY, CLOSING = 2048, 0
 #: Words remembered in a worker, words encoded at once, characters of a word that is remembered, and of a stretch of a text.
-WORDS, TOGETHER, LONG_WORD, STRETCH = 400_000, 50, 64, 1 << 20
+WORDS, TOGETHER, LONG_WORD, STRETCH = 500_000, 50, 64, 1 << 20
 #: Pieces of a bucket in which ranks are given.
 BUCKET = 20_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Words of ASCII and Latin letters, which no normal form changes; the tokenizer's own runs in them; and what it writes for each byte: printable ones themselves.
+_LATIN = re.compile("[!-~¡-įı-ſ]+")
+_RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^a-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_WRITTEN = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 #: What str.split takes for white space and the tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -54,14 +60,51 @@ def _tokenizer(path: str):
     return made
 
 
-_words: dict[str, bytes] = {}
-RELEASED.append(_words.clear)
+class _Memory:
+    """Ids of words, little-endian unsigned 32-bit. When ``WORDS`` are held they go one generation back, from where words that come again are taken."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that aren't held; the others are in ``now`` afterwards."""
+        fresh = words.difference(self.now)
+        if len(self.now) + len(fresh) > WORDS:
+            self.now, self.before, fresh = {}, self.now, words
+        new = []
+        for w in fresh:
+            if w in self.before:
+                self.now[w] = self.before[w]
+            else:
+                new.append(w)
+        return new
+
+
+#: Of words as they stand in texts, and of the lower-case runs that they consist of.
+_words, _runs = _Memory(), _Memory()
+RELEASED.append(_words.forget)
+RELEASED.append(_runs.forget)
 RELEASED.append(_tokenizer.cache_clear)
 
 
 def _learn(tokenizer, new: list[str], known: dict[str, bytes]) -> None:
-    """Ids of ``new`` words, as little-endian unsigned 32-bit bytes. Words are joined by spaces and told apart by their tokens' places."""
-    parts = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+    """Ids of ``new`` words. Latin words are put together from their runs; the others are joined by spaces and told apart by their tokens' places."""
+    model, others, mixed = tokenizer.model, [], {}
+    for word in new:
+        if _LATIN.fullmatch(word):
+            mixed[word] = _RUN.findall(word.lower())
+        else:
+            others.append(word)
+    for run in _runs.unknown({r for runs in mixed.values() for r in runs}):
+        ids = [t.id for t in model.tokenize(run.encode().decode("latin-1").translate(_WRITTEN))]
+        _runs.now[run] = struct.pack(f"<{len(ids)}I", *ids)
+    for word, runs in mixed.items():
+        known[word] = _runs.now[runs[0]] if len(runs) == 1 else b"".join([_runs.now[r] for r in runs])
+    parts = [others[i : i + TOGETHER] for i in range(0, len(others), TOGETHER)]
     for part, made in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
         raw = np.array(made.ids, "<u4").tobytes()
         begins = np.fromiter((o[0] for o in made.offsets), np.int64, len(made.ids))
@@ -92,18 +135,16 @@ def token_bytes(tokenizer, text: str | None) -> bytes:
         # lower case is the tokenizer's own first step; of ASCII it is the same one
         part = part.lower() if part.isascii() else part
         words = re.findall(r"[^ \t\n\r\x0b\x0c]+", part) if _SEPARATORS.search(part) else part.split()
-        new = [w for w in set(words).difference(_words) if len(w) <= LONG_WORD]
-        if len(_words) + len(new) > WORDS:
-            _words.clear()
-            new = [w for w in set(words) if len(w) <= LONG_WORD]
+        new = [w for w in _words.unknown(set(words)) if len(w) <= LONG_WORD]
+        known = _words.now
         if new:
-            _learn(tokenizer, new, _words)
+            _learn(tokenizer, new, known)
         try:
-            out.append(b"".join(map(_words.__getitem__, words)))
+            out.append(b"".join(map(known.__getitem__, words)))
         except KeyError:  # a word too long to be remembered
             own: dict[str, bytes] = {}
             _learn(tokenizer, [w for w in set(words) if len(w) > LONG_WORD], own)
-            out.append(b"".join([_words[w] if len(w) <= LONG_WORD else own[w] for w in words]))
+            out.append(b"".join([known[w] if len(w) <= LONG_WORD else own[w] for w in words]))
     return b"".join(out)
 
 

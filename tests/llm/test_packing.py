@@ -1,5 +1,6 @@
 """Packing: tokens against the library, the reduction against all packings of small instances, places against brute force."""
 
+import functools
 import random
 import zlib
 from collections import Counter
@@ -15,11 +16,17 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
 
 
-def plain_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
+    return t
+
+
+def plain_ids(text):
+    t = library()
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -119,13 +126,23 @@ def test_long_texts_are_read_in_stretches():
     text = "un deux\ntrois " * 400 + "y" * 700 + " fin"
     assert "".join(packing.stretches(text, 64)) == text
     assert all(len(s) <= 64 or "y" in s for s in packing.stretches(text, 64))
-    packing._words.clear()
+    packing._words.forget()
     assert packing.token_bytes(packing._tokenizer(PATH), text) == np.array(plain_ids(text)[:-1], "<u4").tobytes()
 
 
+def test_latin_words_from_their_runs():
+    """Every letter of the fast way, and words of mixed runs, against the library."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+    words = [*letters, *("a" + c + "B" for c in letters), *("".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(3000)), "It's", "I'LL", "x'd've", "1²½"]
+    known = {}
+    packing._learn(packing._tokenizer(PATH), words, known)
+    assert all(known[w] == np.array(plain_ids(w)[:-1], "<u4").tobytes() for w in words)
+
+
 def test_a_full_memory_forgets_nothing_that_matters(monkeypatch):
     monkeypatch.setattr(packing, "WORDS", 10)
-    packing._words.clear()
+    packing._words.forget()
     text = " ".join(f"w{i} common" for i in range(50))
     assert packing.token_bytes(packing._tokenizer(PATH), text) == np.array(plain_ids(text)[:-1], "<u4").tobytes()
 
