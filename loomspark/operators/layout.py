@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.sources.scratch import written
+
 DIMS, SEED = 96, 7
 
 
@@ -46,6 +48,51 @@ def map3d(vectors: DataFrame) -> DataFrame:
     return normalize(got.select("key", *(F.col("p")[i].alias(a) for i, a in enumerate("xyz"))))
 
 
+def spectral3d(graph: DataFrame, steps: int = 24, seed: int = SEED) -> DataFrame:
+    """(key, x, y, z): a map by the graph of neighbours (key, neighbor): near are nodes between which many short paths lead.
+
+    The three slowest modes of a lazy walk on the graph, by power iteration: a step is one join of the edges with the coordinates and one sum by node, then
+    the modes are made orthogonal to each other and to the walk's resting state by their ten dot products. A run starts from hashes of the keys and
+    turns each mode so that its largest coordinate is positive, so reruns agree up to rounding. Fewer than four nodes lie in the origin.
+    """
+    axes = ("x", "y", "z")
+    both = graph.select(F.col("key").alias("a"), F.col("neighbor").alias("b")).where("a <> b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = written(both.groupBy("a").agg(F.sqrt(F.count("*")).alias("root")))
+    if len(degree.take(4)) < 4:
+        return degree.select(F.col("a").alias("key"), *(F.lit(0.0).alias(c) for c in axes))
+    edges = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("root").alias("other")), "b")
+    edges = written(edges.select("a", "b", (1 / (F.col("root") * F.col("other"))).alias("w")))
+    start = lambda i: F.pmod(F.xxhash64(F.lit(seed + i), "a"), F.lit(2_000_001)) / 1_000_000 - 1
+    now = _orthogonal(written(degree.select("a", "root", *(start(i).alias(c) for i, c in enumerate(axes)))))
+    for _ in range(steps):
+        met = edges.join(now.select(F.col("a").alias("b"), *axes), "b").groupBy("a").agg(*(F.sum(F.col(c) * F.col("w")).alias(f"s{c}") for c in axes))
+        moved = now.join(met, "a").select("a", "root", *((F.col(c) / 2 + F.col(f"s{c}") / 2).alias(c) for c in axes))
+        now = _orthogonal(written(moved))
+    places = now.select(F.col("a").alias("key"), *((F.col(c) / F.col("root")).alias(c) for c in axes))
+    places = written(places)
+    top = {c: places.orderBy(F.desc(F.abs(c)), "key").first()[c] for c in axes}
+    return normalize(places.select("key", *((F.col(c) if top[c] >= 0 else -F.col(c)).alias(c) for c in axes)))
+
+
+def _orthogonal(rows: DataFrame) -> DataFrame:
+    """``x``, ``y`` and ``z`` made orthogonal to ``root`` and to each other, each of length one; by the dot products, the only numbers that come to the driver."""
+    names = ("root", "x", "y", "z")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    dots = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs)).first()
+    gram = np.array([[dots[f"{a}_{b}"] if (a, b) in pairs else dots[f"{b}_{a}"] for b in names] for a in names])
+    made: list[np.ndarray] = []
+    for i in range(4):
+        v = np.eye(4)[i]
+        for _ in range(2):
+            for u in made:
+                v = v - (u @ gram @ v) * u
+        size = float(v @ gram @ v)
+        made.append(v / np.sqrt(size) if size > 1e-24 else np.zeros(4))
+    mixed = {n: sum((F.col(m) * float(made[i][j]) for j, m in enumerate(names) if made[i][j]), F.lit(0.0)) for i, n in enumerate(names)}
+    return rows.select("a", "root", *(mixed[c].alias(c) for c in names[1:]))
+
+
 def update(vectors: DataFrame, target: str, stamp: str) -> DataFrame:
     """The map at ``target``, made anew only if ``stamp`` differs from the last one written. The stamp is written last, so a failed run is repeated."""
     spark = vectors.sparkSession

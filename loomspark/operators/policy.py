@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.sources.scratch import written
+
 FIND, FIND_MOST, AGGREGATE_MOST, ARRAY_MOST, TEXT_MOST = 20, 100, 200, 60, 60_000
 SAMPLE, SAMPLE_MOST, DEPTH = 20, 50, 3
 
@@ -134,6 +136,56 @@ class Policy:
         self._joinable(table)
         return left.join(self.visible(right), on)
 
+    def graph_lookup(
+        self, left: DataFrame, right: DataFrame, table: str, start: str, connect_from: str, connect_to: str, key: str, max_depth: int | None = None, where: Column | None = None
+    ) -> DataFrame:
+        """Every row of ``right`` that ``left`` reaches, with its depth: (left's columns, depth, found), where ``found`` is a struct of right's visible columns.
+
+        From ``start`` on, rows whose ``connect_to`` has the value are found, then those that have their ``connect_from`` value (or one of them, in an array), and
+        so on, up to ``max_depth`` steps (0: the first rows only). A row, known by its ``key``, is found once for each start, at its least depth, so
+        circles end; rows that ``where`` doesn't keep are neither found nor passed through; nulls lead nowhere. Tables that can't be joined are refused, and so are
+        denied names, at whatever level: all levels see the visible columns alone.
+
+        A level is one join of what the last one found, which is written, with the table: as many joins as levels. Starts that are asked
+        more than once are walked once.
+        """
+        self._joinable(table)
+        self.check(start, connect_from, connect_to, key)
+        spark = left.sparkSession
+
+        def made() -> DataFrame:
+            rows = self.visible(right)
+            rows = rows if where is None else rows.where(where)
+            to = F.col(connect_from)
+            if isinstance(rows.select(to.alias("c")).schema["c"].dataType, T.ArrayType):
+                nexts = F.array_distinct(to)
+            else:
+                nexts = F.array(to)
+            nodes = written(rows.select(F.col(connect_to).alias("_at"), F.col(key).alias("_key"), nexts.alias("_next"), F.struct("*").alias("found")).where("_at is not null"))
+            asked = self.visible(left).select(F.col(start).alias("_start"))
+            # (start, value): where to look next; (start, key, depth): what was found
+            looks = written(asked.where("_start is not null").distinct().select("_start", F.col("_start").alias("_look")))
+            seen, depth, levels = None, 0, []
+            while (max_depth is None or depth <= max_depth) and looks.head(1):
+                met = looks.join(nodes, F.col("_look") == F.col("_at")).select("_start", "_key", "_next")
+                if seen is not None:
+                    met = met.join(seen, ["_start", "_key"], "left_anti")
+                found = written(met.dropDuplicates(["_start", "_key"]).withColumn("depth", F.lit(depth)))
+                levels.append(found.select("_start", "_key", "depth"))
+                seen = levels[0]
+                for more in levels[1:]:
+                    seen = seen.unionByName(more)
+                seen = seen.select("_start", "_key")
+                looks = written(found.select("_start", F.explode("_next").alias("_look")).where("_look is not null").distinct())
+                depth += 1
+            told = levels[0] if levels else spark.createDataFrame([], nodes.select(F.col("_at").alias("_start"), "_key", F.lit(0).alias("depth")).schema)
+            for more in levels[1:]:
+                told = told.unionByName(more)
+            whole = told.join(nodes.select("_key", "found"), "_key").drop("_key")
+            return self.visible(left).join(whole, F.col(start) == F.col("_start")).drop("_start")
+
+        return self._refused(made)
+
     def redact(self, df: DataFrame, table: str | None = None) -> DataFrame:
         """Drops denied names at any depth and cuts arrays to 60, with the number cut in ``<column>_more``."""
 

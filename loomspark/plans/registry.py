@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -10,7 +10,7 @@ from loomspark.operators import chunks, facts, graph, impact, index, layout, qua
 from loomspark.operators.policy import Policy, TablePolicy
 from loomspark.plans import relations as R
 from loomspark.sources import corpus
-from loomspark.sources.scratch import folder
+from loomspark.sources.scratch import folder, written
 from loomspark.streaming import rollup as streams
 
 QUERIES: dict = {}
@@ -720,3 +720,6 @@ placed(i, module, g, held) AS (SELECT i, module, 0, n FROM parts WHERE i = 1 UNI
 def job_groups(spark, d):
     """Documents packed into jobs of at most 120, a flow folder never split."""
     return impact.plan_groups(R.docs(spark, d).select(F.col("path").alias("doc")), 120)
+
+
+from loomspark.plans import kept  # noqa: E402, F401  registers more queries
