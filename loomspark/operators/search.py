@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.sources.scratch import written
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK, VECTOR_BLOCK, SAMPLE = 4096, 8192, 20_000
@@ -17,15 +18,19 @@ FIELD_WEIGHTS = {"title": 3, "aliases": 2, "headings": 2, "content": 1}
 def postings(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """(term, key, tf): field-weighted term frequencies of documents (key and text fields)."""
     weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in docs.columns}
-    parts = [docs.select("key", F.explode(T.all_terms(F.col(f))).alias("term"), F.lit(w).alias("w")) for f, w in weights.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("term", "key").agg(F.sum("w").alias("tf"))
+    # all fields of a document in one pass
+    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    terms = {f: F.coalesce(T.all_terms(F.col(f)), F.array().cast("array<string>")) for f in weights}
+    each = F.concat(*(F.transform(terms[f], weighed(w)) for f, w in weights.items()))
+    return docs.select("key", F.explode(each).alias("e")).groupBy(F.col("e.term").alias("term"), "key").agg(F.sum("e.w").alias("tf"))
 
 
 def text_search(post: DataFrame, questions: DataFrame, k: int = 30) -> DataFrame:
-    """(qid, key, score, rank): BM25 of any document that holds a question term; ``rank`` from 0, equal scores by key."""
+    """(qid, key, score, rank): BM25 of any document that holds a question term; ``rank`` from 0, equal scores by key.
+
+    The postings are written once and read three times: for lengths, for the terms' counts and for the hits.
+    """
+    post = written(post)
     lengths = post.groupBy("key").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     terms = questions.select("qid", F.explode(T.question_terms(F.col("text"))).alias("term"))
@@ -200,7 +205,7 @@ def evaluate(lists: dict[str, DataFrame], relevant: DataFrame, doc: str = "path"
     for method, hits in lists.items():
         own = doc_ranking(hits, doc).select(F.lit(method).alias("method"), "qid", doc, "rank")
         rows = own if rows is None else rows.unionByName(own)
-    return score(rows, relevant, ["method"], doc).orderBy(F.desc("hit5"), F.desc("mrr"), "method")
+    return score(written(rows), written(relevant), ["method"], doc).orderBy(F.desc("hit5"), F.desc("mrr"), "method")
 
 
 def score(rankings: DataFrame, relevant: DataFrame, by: list[str] | None = None, doc: str = "path") -> DataFrame:
@@ -220,7 +225,7 @@ def sweep(text_hits: DataFrame, vector_hits: DataFrame, ks=(10, 20, 40, 60), wei
     """(k, w, qid, key, rank) of the fused lists for each setting, from lists made once."""
     spark = text_hits.sparkSession
     grid = spark.createDataFrame([(k, w) for k in ks for w in weights], "k int, w double")
-    lists = text_hits.select("qid", F.lit(0).alias("list"), "key", "rank").unionByName(vector_hits.select("qid", F.lit(1).alias("list"), "key", "rank"))
+    lists = written(text_hits.select("qid", F.lit(0).alias("list"), "key", "rank").unionByName(vector_hits.select("qid", F.lit(1).alias("list"), "key", "rank")))
     each = lists.crossJoin(F.broadcast(grid))  # twenty rows
     part = F.when(F.col("list") == 0, 1.0).otherwise(F.col("w")) / (F.col("k") + F.col("rank") + 1)
     fused = each.groupBy("k", "w", "qid", "key").agg(F.round(F.sum(part), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"))

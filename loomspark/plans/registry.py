@@ -123,8 +123,9 @@ def hits_of(spark, d, removed: bool = False):
     docs = search.prefilter(R.docs(spark, d), include_removed=removed)
     asked = R.questions(spark, d)
     text = search.text_search(search.postings(docs.select("key", "title", "content")), asked, 30)
-    own, wanted = index.term_vectors(docs, "key", "text"), index.term_vectors(asked, "qid", "text")
-    return text, search.knn(own, wanted.withColumnRenamed("key", "qid"), 30)
+    own, wanted = written(index.term_vectors(docs, "key", "text")), written(index.term_vectors(asked, "qid", "text"))
+    # both lists are read more than once
+    return written(text), written(search.knn(own, wanted.withColumnRenamed("key", "qid"), 30))
 
 
 @query(R.sql(_CAPPED, "docs", recursive=", ".join(_HYBRID)))
@@ -192,7 +193,7 @@ settings AS (SELECT k, w, qid, key, row_number() OVER (PARTITION BY k, w, qid OR
 def fusion_sweep(spark, d):
     """Settings of the fusion by hit@1, hit@5 and MRR, against documents that hold the passage: the best eight."""
     got = search.sweep(*hits_of(spark, d)).withColumnRenamed("key", "path")
-    return search.leaderboard(search.score(got, relevant(spark, d), ["k", "w"]))
+    return search.leaderboard(search.score(written(got), written(relevant(spark, d)), ["k", "w"]))
 
 
 @query(R.sql("SELECT path, pos AS line, substr(trim(line, ' '), 1, 300) AS text FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs) WHERE contains(lower(translate(line, 'İI', 'ii')), 'tion')", "docs"))
