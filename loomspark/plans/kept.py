@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import layout, lists, nngraph, search, textindex
+from loomspark.operators import grepindex, layout, lists, nngraph, search, textindex
 from loomspark.operators.policy import Policy, TablePolicy
 from loomspark.plans import registry
 from loomspark.plans import relations as R
@@ -124,3 +124,11 @@ def graph_lookup(spark, d):
     files = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("parent")).distinct()
     found = _TREE.graph_lookup(files, files, "files", "parent", "parent", "id", "id", max_depth=2)
     return found.select("id", F.col("found.id").alias("ancestor"), "depth")
+
+
+@query(registry.SQL["grep_lines"])
+def grep_index_lines(spark, d):
+    """All lines with a word part, by the trigram index of all documents' lines."""
+    at = _place(spark)
+    grepindex.build(R.docs(spark, d), at)
+    return grepindex.grep(spark, at, "TION", limit=None)
