@@ -26,9 +26,11 @@ def _bucket(gram: Column | str) -> Column:
 
 
 def _grams(folded: Column) -> Column:
-    """Distinct trigrams of a text; none of one shorter than three."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(folded) - 2, F.lit(1)))
-    return F.when(F.length(folded) >= 3, F.array_distinct(F.transform(places, lambda i: F.substring(folded, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct trigrams of a text; none of one shorter than three. The characters, shifted by one and by two, are put side by side, so the work is by length."""
+    chars = F.filter(F.split(folded, ""), lambda c: c != "")
+    shifted = lambda n: F.slice(chars, n + 1, F.greatest(F.size(chars), F.lit(1)))
+    two = F.zip_with(chars, shifted(1), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.array_compact(F.zip_with(two, shifted(2), lambda a, b: F.concat(a, b))))
 
 
 def build(docs: DataFrame, path: str) -> None:

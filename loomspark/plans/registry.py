@@ -723,4 +723,4 @@ def job_groups(spark, d):
     return impact.plan_groups(R.docs(spark, d).select(F.col("path").alias("doc")), 120)
 
 
-from loomspark.plans import kept  # noqa: E402, F401  registers more queries
+from loomspark.plans import kept, sourcefacts  # noqa: E402, F401  register more queries

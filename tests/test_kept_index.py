@@ -33,6 +33,7 @@ def as_rows(df):
 
 def test_kept_index_gives_the_rows_of_text_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(textindex, "RANGE", 8)
+    monkeypatch.setattr(textindex, "BUCKETS", 4)
     path, questions = f"{tmp_path}/ix", asked(spark)
     docs = made_docs(1, 300)
     same = lambda k: as_rows(textindex.search_index(spark, path, questions, k, 2)) == as_rows(search.text_search(search.postings(frame(spark, docs)), questions, k))

@@ -84,8 +84,8 @@ def test_spectral_map_keeps_groups_together(spark):
     # four rings, joined by one edge each
     edges = [(10 * g + i, 10 * g + (i + 1) % 10) for g in range(4) for i in range(10)] + [(10 * g, 10 * ((g + 1) % 4) + 5) for g in range(4)]
     graph = spark.createDataFrame(edges, "key long, neighbor long")
-    points = {r.key: np.array([r.x, r.y, r.z]) for r in layout.spectral3d(graph, 40).collect()}
-    again = {r.key: np.array([r.x, r.y, r.z]) for r in layout.spectral3d(graph.repartition(3), 40).collect()}
+    points = {r.key: np.array([r.x, r.y, r.z]) for r in layout.spectral3d(graph, 24).collect()}
+    again = {r.key: np.array([r.x, r.y, r.z]) for r in layout.spectral3d(graph.repartition(3), 24).collect()}
     assert set(points) == set(range(40)) and all(np.abs(points[k] - again[k]).max() < 2e-3 for k in points)
     assert max(np.linalg.norm(p) for p in points.values()) <= 1.001
     apart = lambda pairs: np.mean([np.linalg.norm(points[a] - points[b]) for a, b in pairs])
