@@ -9,7 +9,7 @@ path prefixes.
 
 Defined results: a null or empty text has no licence; equal scores go to the longer window, then to the licence that comes first by name; a null
 path inherits nothing; several licence files in one directory give that of the highest score, then the first by name; repeated rows
-are scanned one by one; an empty table gives an empty result. A window ends after ``REACH`` characters or ``PIECES`` further openings.
+are scanned one by one; an empty table gives an empty result. Windows are counted in words, so what stands between words, however much, changes nothing.
 Other columns are not read.
 """
 
@@ -20,26 +20,37 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import materialize, small
 
-THRESHOLD, SALTS, REACH, PIECES = 0.6, 16, 2000, 16
+THRESHOLD, SALTS = 0.6, 16
 WORD = r"([a-z]+|[0-9]+(?:\.[0-9]+)*)"
 #: Names of licences as headers give them, by SPDX identifier.
 NAMES = {
+    "AGPL-3.0-only": "the GNU Affero General Public License, version 3",
     "Apache-2.0": "the Apache License, Version 2.0",
+    "Artistic-2.0": "the Artistic License 2.0",
     "BSD-2-Clause": "the BSD 2-Clause License",
     "BSD-3-Clause": "the BSD 3-Clause License",
+    "BSL-1.0": "the Boost Software License 1.0",
     "CC-BY-4.0": "CC BY 4.0",
     "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "CC BY-SA 4.0",
     "CC0-1.0": "CC0 1.0 Universal",
+    "EPL-2.0": "the Eclipse Public License 2.0",
     "GPL-2.0-only": "the GNU General Public License, version 2",
     "GPL-3.0-only": "the GNU General Public License, version 3",
     "ISC": "the ISC License",
+    "LGPL-2.1-only": "the GNU Lesser General Public License, version 2.1",
     "LGPL-3.0-only": "the GNU Lesser General Public License, version 3",
     "MIT": "the MIT License",
     "MPL-2.0": "the Mozilla Public License, v. 2.0",
+    "Unlicense": "the Unlicense, a public domain dedication",
+    "Zlib": "the zlib License",
 }
 FORMS = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.")
 #: Identifiers that only tags give.
-TAGS = ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-3.0-or-later")
+TAGS = (
+    "0BSD", "AGPL-3.0-or-later", "CDDL-1.0", "EPL-1.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "MPL-1.1", "NCSA",
+    "OFL-1.1", "PostgreSQL", "Python-2.0", "WTFPL", "X11",
+)
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -66,7 +77,7 @@ PASSAGES = (
     ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
     ("LGPL-3.0-or-later", _GNU.format("This library", "Lesser ", 3)),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("MIT", "MIT License"),
+    ("MIT", "MIT License Copyright (c)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
 )
@@ -96,10 +107,14 @@ def lengths() -> list[int]:
     return sorted({len(t.split()) for _, t in templates()})
 
 
-def opening() -> str:
-    """Pattern of the places where a window begins."""
-    first = sorted({tuple(t.split()[:2]) for _, t in templates()})
-    return "(^|[^a-z0-9])(" + "|".join(f"{a}[^a-z0-9]{{0,40}}{b}" for a, b in first) + ")"
+def openings() -> list[str]:
+    """The first two words of the templates, with which windows begin."""
+    return sorted({" ".join(t.split()[:2]) for _, t in templates()})
+
+
+def hint() -> str:
+    """Pattern that every text with an opening has."""
+    return "|".join("[^a-z0-9]*".join(o.replace(".", "[.]").split()) for o in openings())
 
 
 def tokens(text: Column) -> Column:
@@ -110,11 +125,15 @@ def tokens(text: Column) -> Column:
 def windows(text: Column) -> Column:
     """Array of (size, line): the windows of a text."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    pieces = F.transform(F.split(F.regexp_replace(low, opening(), "$1\x01$2"), "\x01", -1), lambda p: F.substring(p, 1, REACH))
-    begun = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: tokens(F.substring(F.array_join(F.slice(pieces, i, PIECES), ""), 1, REACH)))
     sizes = F.array(*map(F.lit, lengths()))
-    cut = F.flatten(F.transform(begun, lambda w: F.transform(sizes, lambda n: F.struct(n.alias("size"), F.array_join(F.slice(w, 1, n), " ").alias("line")))))
-    return F.when(low.rlike(opening()), cut)
+
+    def cut(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        begins = F.filter(F.transform(pairs, lambda p, i: F.when(p.isin(*openings()), i + 1)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(begins, lambda i: F.transform(sizes, lambda n: F.struct(n.alias("size"), F.array_join(F.slice(words, i, n), " ").alias("line")))))
+
+    # as a variable of its own the array of words is made once
+    return F.when(low.rlike(hint()), F.element_at(F.transform(F.array(tokens(low)), cut), 1))
 
 
 def line_scores(spark: SparkSession, lines: DataFrame) -> DataFrame:

@@ -76,15 +76,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATES = ", ".join(f"({i}, '{name}', {len(line.split())}, '{line}')" for i, (name, line) in enumerate(licenses.templates()))
+_OPENINGS = ", ".join(f"'{o}'" for o in licenses.openings())
 OP4_SQL = f"""
 WITH files AS (
   SELECT doc_id, array_to_string(string_split(doc_id::VARCHAR, ''), '/') AS path, text FROM documents
-), pieces AS (
-  SELECT doc_id, list_transform(string_split(regexp_replace(lower(text), '{licenses.opening()}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda p: substr(p, 1, {licenses.REACH})) AS p
-  FROM files WHERE regexp_matches(lower(text), '{licenses.opening()}')
+), worded AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '{licenses.WORD}', 1) AS w FROM files
 ), begun AS (
-  SELECT doc_id, regexp_extract_all(substr(array_to_string(list_slice(p, i, i + {licenses.PIECES - 1}), ''), 1, {licenses.REACH}), '{licenses.WORD}', 1) AS w
-  FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM pieces)
+  SELECT doc_id, w[i:] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM worded) WHERE w[i] || ' ' || w[i + 1] IN ({_OPENINGS})
 ), lines AS (
   SELECT doc_id, size, array_to_string(list_slice(w, 1, size), ' ') AS line FROM begun, (VALUES {", ".join(f"({n})" for n in licenses.lengths())}) AS sizes(size)
 ), distinct_lines AS (
