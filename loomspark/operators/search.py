@@ -250,3 +250,25 @@ def grep(docs: DataFrame, needle: str, prefix: str = "", limit: int | None = 50)
     hits = lines.where(T.fold(F.col("raw")).contains(T.fold(F.lit(needle))))
     found = hits.select("path", (F.col("pos") + 1).cast("int").alias("line"), F.substring(F.trim("raw"), 1, 300).alias("text"))
     return found if limit is None else found.orderBy("path", "line").limit(limit)
+
+
+def holding(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, path) of the ``docs`` (path, text) whose text holds the ``passage`` of a row of ``asked``, whatever stands around it.
+
+    A passage's words but its first and last are whole words of the text that holds it, so the rarest of them finds the candidates, which
+    are then verified. Passages of fewer than three words have no such word and are looked for in every text. A null text or passage holds
+    and is held by nothing; an empty passage is held by every text; repeated rows of ``asked`` or ``docs`` are repeated pairs.
+    """
+    words = lambda c: F.split(c, r"[ \t\n\x0B\f\r]+")
+    asked = asked.select("qid", "passage", F.slice(words("passage"), 2, F.greatest(F.size(words("passage")) - 2, F.lit(0))).alias("inner")).where("passage is not null")
+    own = docs.select("path", F.explode(F.array_distinct(words("text"))).alias("word"))
+    wanted = asked.select(F.explode("inner").alias("word")).distinct()
+    posted = written(own.join(wanted, "word", "left_semi"))
+    df = posted.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = asked.select("passage", F.explode("inner").alias("word")).distinct().join(df, "word").groupBy("passage").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    pairs = rarest.join(posted.distinct(), "word").select("passage", "path").join(docs, "path").where(F.col("text").contains(F.col("passage"))).select("passage", "path")
+    found = asked.select("qid", "passage").join(pairs, "passage").select("qid", "path")
+    short = asked.where(F.size("inner") == 0).select("qid", "passage")
+    if not short.head(1):
+        return found
+    return found.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("qid", "path"))

@@ -147,11 +147,9 @@ _GRADE = "round(avg(CASE WHEN r < 1 THEN 100.0 ELSE 0 END), 1) AS hit1, round(av
 
 
 def relevant(spark, d):
-    """(qid, path): live documents that hold a question's passage. The questions are a stated set, some hundreds."""
+    """(qid, path): live documents that hold a question's passage."""
     asked = R.questions(spark, d).withColumnRenamed("text", "passage")
-    docs = search.prefilter(R.docs(spark, d)).select(F.col("key").alias("path"), "text")
-    few = asked.limit(10_001).count() <= 10_000
-    return docs.join(F.broadcast(asked) if few else asked, F.col("text").contains(F.col("passage"))).select("qid", "path")
+    return search.holding(search.prefilter(R.docs(spark, d)).select(F.col("key").alias("path"), "text"), asked)
 
 
 @query(R.sql(f"SELECT method, {_GRADE} FROM (SELECT m.method, a.qid, min(x.rank) AS r FROM (VALUES ('text'), ('vector'), ('hybrid')) m(method) CROSS JOIN asked a LEFT JOIN (SELECT h.*, r.key AS hit FROM (SELECT 'text' AS method, qid, key, rank FROM text_hits UNION ALL SELECT 'vector', qid, key, rank FROM vector_hits UNION ALL SELECT 'hybrid', qid, key, rank FROM ranked) h JOIN relevant r ON r.qid = h.qid AND r.key = h.key) x ON x.method = m.method AND x.qid = a.qid GROUP BY ALL) GROUP BY method", "docs", recursive=", ".join([*_HYBRID, _RELEVANT])))
@@ -159,7 +157,7 @@ def retrieval_methods(spark, d):
     """Text, vectors and both, graded by the documents that hold the passage."""
     text, vector = hits_of(spark, d)
     own = lambda hits: hits.select("qid", F.col("key").alias("path"), "rank")
-    return search.evaluate({"text": own(text), "vector": own(vector), "hybrid": own(search.hybrid(text, vector))}, relevant(spark, d))
+    return search.evaluate({"text": own(text), "vector": own(vector), "hybrid": own(search.hybrid(text, vector))}, written(relevant(spark, d)))
 
 
 _EVAL = """
