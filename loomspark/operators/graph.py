@@ -14,7 +14,8 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, key: list[str], together: int = 8) -> DataFrame:
-    """Rounds of frontier joins. Each new frontier is written; every few rounds what has been seen is put together in one table."""
+    """Rounds of frontier joins. The edges are written once, and so is each new frontier; every few rounds what has been seen is put together in one table."""
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = written(seeds.distinct())
     front, rounds = seen, 0
     while front.take(1):
