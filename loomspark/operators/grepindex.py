@@ -1,7 +1,7 @@
 """Literal line search over a kept trigram index: candidates by their trigrams' intersection, then lines verified.
 
 ``build`` writes documents' lines (path, line, text), sorted by path, with numbers, and for each trigram of the folded text the numbers of the lines that hold it, by ``BUCKETS``
-hash buckets of trigrams, cut into runs of ``RUN`` line numbers. ``grep`` reads the buckets of its needle's trigrams alone, counts for each line how many of
+hash buckets of trigrams, a row for each batch of lines that was read together. ``grep`` reads the buckets of its needle's trigrams alone, counts for each line how many of
 them it has, and verifies only lines that have them all; of the lines, only row groups whose numbers can match are read. Needles of fewer than three characters have no
 trigram and are searched in all lines.
 
@@ -10,13 +10,17 @@ Rows are those of ``search.grep``: literal, without case (İ and I are i), numbe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.sources.scratch import written
 
-BUCKETS, RUN = 64, 65_536
+BUCKETS = 64
 #: Candidate lines up to which their numbers are handed to the scan, after a count.
 FEW = 10_000
 
@@ -25,12 +29,31 @@ def _bucket(gram: Column | str) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def _grams(folded: Column) -> Column:
-    """Distinct trigrams of a text; none of one shorter than three. The characters, shifted by one and by two, are put side by side, so the work is by length."""
-    chars = F.filter(F.split(folded, ""), lambda c: c != "")
-    shifted = lambda n: F.slice(chars, n + 1, F.greatest(F.size(chars), F.lit(1)))
-    two = F.zip_with(chars, shifted(1), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(F.zip_with(two, shifted(2), lambda a, b: F.concat(a, b))))
+def _characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _held(c: np.ndarray) -> np.ndarray:
+    """The trigram that begins at each character, as a number of 21 bits a character; -1 where the line ends before the trigram does."""
+    c = np.r_[c, 10, 10]
+    ends = c == 10
+    return np.where(ends[:-2] | ends[1:-1] | ends[2:], -1, c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, ns) of the lines (n, folded) of a batch: one list for each trigram, so no row is made for each trigram of a line."""
+    for b in batches:
+        c = _characters("\n".join(b.column("folded").to_pylist()))
+        grams, line = _held(c), np.cumsum(c == 10)
+        at = np.flatnonzero(grams >= 0)
+        # lines are in the order of their numbers: a stable sort by trigram keeps them so
+        at = at[np.argsort(grams[at], kind="stable")]
+        grams, own = grams[at], np.asarray(b.column("n"), np.int64)[line[at]]
+        fresh = np.r_[True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])][: len(grams)]
+        grams, own = grams[fresh], own[fresh]
+        begins = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        ns = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(own)].astype(np.int32)), pa.array(own))
+        yield pa.RecordBatch.from_arrays([pa.array(grams[begins]), ns], names=["gram", "ns"])
 
 
 def build(docs: DataFrame, path: str) -> None:
@@ -42,14 +65,15 @@ def build(docs: DataFrame, path: str) -> None:
     raw = spark.read.schema(each.schema).parquet(f"{path}/raw")
     raw.select(F.monotonically_increasing_id().alias("n"), "path", (F.col("pos") + 1).cast("int").alias("line"), "raw").write.mode("overwrite").parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines")
-    grams = lines.select("n", F.explode(_grams(T.fold(F.col("raw")))).alias("gram"))
-    runs = grams.groupBy("gram", F.expr(f"n div {RUN}").alias("run")).agg(F.sort_array(F.collect_list("n")).alias("ns"))
-    runs.withColumn("bucket", _bucket("gram")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/grams")
+    held = lines.select("n", T.fold(F.col("raw")).alias("folded")).mapInArrow(_lists, "gram long, ns array<long>")
+    held.withColumn("bucket", _bucket("gram")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/grams")
 
 
 def candidates(spark: SparkSession, path: str, needle: str) -> DataFrame | None:
     """(n): lines with all trigrams of the needle; None if it has none."""
-    own = spark.range(1).select(F.explode(_grams(T.fold(F.lit(needle)))).alias("gram")).select("gram", _bucket("gram").alias("bucket")).collect()
+    folded = spark.range(1).select(T.fold(F.lit(needle)).alias("t")).first().t
+    grams = sorted({int(g) for g in _held(_characters(folded)) if g >= 0})
+    own = spark.range(1).select(F.explode(F.lit(grams).cast("array<long>")).alias("gram")).select("gram", _bucket("gram").alias("bucket")).collect() if grams else []
     if not own:
         return None
     held = spark.read.parquet(f"{path}/grams").where(F.col("bucket").isin(sorted({r.bucket for r in own})) & F.col("gram").isin(sorted(r.gram for r in own)))
