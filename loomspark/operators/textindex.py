@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,8 +165,8 @@ def compact(spark: SparkSession, path: str) -> int:
     return index.version + 1
 
 
-def _bounds(index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """(qid, term, idf, bucket) of the questions' terms; (qid, range, bound, place) of the ranges with one of them; the mean length."""
+def _bounds(index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, term, idf, bucket) of the questions' terms; (qid, range, bound, place) of the ranges with one of them."""
     docs, mean = F.lit(index.content["docs"]), F.lit(index.content["tokens"] / index.content["docs"])
     asked = questions.select("qid", F.explode(T.question_terms(F.col("text"))).alias("term"))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -173,7 +176,7 @@ def _bounds(index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame, C
     most = F.col("idf") * _impact(F.col("max_tf"), F.col("min_len"), mean)
     bounds = asked.join(heads, ["bucket", "term"]).groupBy("qid", "range").agg(F.sum(most).alias("bound"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "range"))
-    return asked, written(bounds.withColumn("place", place)), mean
+    return asked, written(bounds.withColumn("place", place))
 
 
 def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int = 30, first: int = FIRST, version: int | None = None) -> DataFrame:
@@ -182,32 +185,60 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int =
     q_type = questions.schema["qid"].dataType.simpleString()
     if not index.content.get("docs"):
         return spark.createDataFrame([], f"qid {q_type}, key {index.key_type}, score double, rank int")
-    asked, bounds, mean = _bounds(index, questions)
-    tried = _scored(index, asked, bounds.where(F.col("place") <= first).select("qid", "range"), mean)
+    asked, bounds = _bounds(index, questions)
+    tried = _scored(index, asked, bounds.where(F.col("place") <= first).select("qid", "range"), k)
     kth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))
     tried = written(tried)
     least = tried.withColumn("r", kth).where(F.col("r") == k).select("qid", F.col("score").alias("least"))
     # scores are rounded to six places: a bound that is no farther off may still tie
     open_ = bounds.where(F.col("place") > first).join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
-    rest = _scored(index, asked, open_.select("qid", "range"), mean)
+    rest = _scored(index, asked, open_.select("qid", "range"), k)
     return search.topk(tried.unionByName(rest), k)
 
 
-def _scored(index: Index, asked: DataFrame, wanted: DataFrame, mean: Column) -> DataFrame:
-    """(qid, key, score) of the live documents in the wanted (qid, range)."""
-    need = asked.join(wanted, "qid")
-    rows = index.blocks().join(need, ["bucket", "term", "range"])
-    each = rows.select("qid", "idf", "segment", F.explode(F.arrays_zip("keys", "tfs", "lens")).alias("e"))
-    weight = F.col("idf") * _impact(F.col("e.tfs"), F.col("e.lens"), mean)
-    sums = each.groupBy("qid", F.col("e.keys").alias("key"), "segment").agg(F.round(F.sum(weight), 6).alias("score"))
+def _scored(index: Index, asked: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(qid, key, score) of the ``k`` best live documents of each question in the wanted (qid, range), and in each block of ranges.
+
+    A question meets a block of ranges in one row, with its terms and the ranges that it wants there; a posting moves once, whatever the number of questions.
+    """
+    blocks = max(1, -(-index.content["docs"] // search.TEXT_BLOCK))
+    dealt = F.pmod(F.xxhash64("range"), F.lit(blocks)).cast("int").alias("b")
+    wanted = written(wanted)
+    rows = index.blocks().join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").join(wanted.select("range").distinct(), "range", "left_semi")
+    each = rows.select("term", "range", "segment", F.explode(F.arrays_zip("keys", "tfs", "lens")).alias("e"))
+    each = each.select(dealt, "term", "range", "segment", F.col("e.keys").alias("key"), F.col("e.tfs").alias("tf"), F.col("e.lens").alias("len"))
     if index.content.get("dead"):
-        sums = sums.join(index.dead(), ["segment", "key"], "left_anti")
-    return sums.select("qid", "key", "score")
+        each = each.join(index.dead(), ["segment", "key"], "left_anti")
+    terms = asked.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("t"))
+    spots = wanted.groupBy("qid", dealt).agg(F.collect_list("range").alias("ranges")).join(terms, "qid")
+    spots = spots.select("b", "qid", "ranges", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"))
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, key {index.key_type}, score double"
+    scores = _range_scores(k, index.content["tokens"] / index.content["docs"])
+    return each.select("b", "term", "range", "key", "tf", "len").groupBy("b").cogroup(spots.groupBy("b")).applyInArrow(scores, schema)
+
+
+def _range_scores(k: int, mean: float):
+    scores = search.block_scores(k, mean)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ranges, terms = pc.unique(left["range"]), pc.unique(left["term"])
+        at = lambda values, known: np.asarray(pc.fill_null(pc.index_in(values, value_set=known), -1), np.int64)
+        rows, numbers, idfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, (r, t, idf) in enumerate(zip(*(right[c].combine_chunks() if right.num_rows else [] for c in ("ranges", "terms", "idfs")))):
+            r, t, idf = at(r.values, ranges), at(t.values, terms), np.asarray(idf.values, np.float64)
+            r, t, idf = r[r >= 0], t[t >= 0], idf[t >= 0]
+            numbers.append((r[:, None] * len(terms) + t).ravel())
+            idfs.append(np.tile(idf, len(r)))
+            rows.append(np.full(len(numbers[-1]), i))
+        left = pa.table({"key": left["key"], "n": at(left["range"], ranges) * len(terms) + at(left["term"], terms), "tf": left["tf"], "len": left["len"]})
+        return scores(left, pa.table({"qid": right["qid"].take(pa.array(np.concatenate(rows))), "n": np.concatenate(numbers), "idf": np.concatenate(idfs)}))
+
+    return run
 
 
 def ranges_read(spark: SparkSession, path: str, questions: DataFrame, k: int = 30, first: int = FIRST) -> tuple[int, int]:
     """How many (question, range) pairs a search reads, and how many there are with a term of the question."""
-    _, bounds, _ = _bounds(Index(spark, path), questions)
+    _, bounds = _bounds(Index(spark, path), questions)
     least = search_index(spark, path, questions, k, first).where(F.col("rank") == k - 1).select("qid", F.col("score").alias("least"))
     read = bounds.join(least, "qid", "left").where((F.col("place") <= first) | F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
     return read.count(), bounds.count()
