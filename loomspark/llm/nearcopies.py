@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import components, join_named, map_columns, materialize
+from loomspark.llm.common import components, join_named, map_columns, materialize, release_old
 from loomspark.llm.simhash import HOT, group_links, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -131,6 +131,7 @@ def group_edges(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     dealt = texts.select("root", "part", "doc_id", "text", "more", "known").repartition(n, "root", "part").sortWithinPartitions("root", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_old()
         held, now = [], None
 
         def told() -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import components, join_named, map_columns, materialize
+from loomspark.llm.common import components, join_named, map_columns, materialize, release_old
 
 SHINGLE, BUDGET = 3, 2
 HOT = 1024  # rows of one fingerprint from which its join is salted
@@ -123,6 +123,7 @@ def group_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     dealt = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part")
 
     def run(batches):
+        release_old()
         held = []
         for b in batches:
             pdf = b.to_pandas()
