@@ -1,12 +1,15 @@
 """The graph of nearest neighbours by descent: neighbours of neighbours are compared until few lists change.
 
-Vectors get one short list each. The first lists come from leaves: signs of a few random projections deal the vectors out ``TREES`` times, and vectors of one
-leaf are compared with each other. Then come rounds. In each, a node looks at ``JOINED`` neighbours of its own list and as many nodes that have it in
-theirs, new ones first, and compares these with each other, but for pairs that met in an earlier round; a pair goes on to the lists that it
-would improve. No step pairs all vectors: a node's work in a round is bounded by ``JOINED``, and rounds end when less than ``LEAST_CHANGE`` of all
-entries have changed.
+Vectors get one short list each. The first lists come from leaves: the nearest of a few random directions deals the vectors out ``TREES`` times, and vectors of
+one leaf are compared with each other. A leaf is a ``SHARE``-th of the vectors, from ``LEAF`` to ``MOST_LEAF`` of them: comparing within a leaf moves a vector once,
+while a round moves it to each node that looks at it, so large leaves spare rounds. Then come rounds. In each, a node looks at ``JOINED`` neighbours of its own
+list and as many nodes that have it in theirs, new ones first, and compares these with each other, but for pairs that met in an earlier round; a pair goes on
+to the lists that it would improve. No step pairs all vectors of a large table: a node's work is bounded by ``MOST_LEAF`` for each tree and by ``JOINED`` in a round.
 
-Nodes are worked on by buckets of ``BUCKET``, so tasks compute on whole arrays. Leaves of more than twice ``LEAF`` vectors (a crowd of copies is one) are dealt
+Lists are measured against the true neighbours of ``PROBES`` nodes, which are compared with all: rounds end when the lists hold ``RECALL`` of them. When less than
+``LEAST_CHANGE`` of all entries change and that isn't reached, other directions deal the vectors out anew.
+
+Nodes are worked on by buckets of ``BUCKET``, so tasks compute on whole arrays. Leaves of more than twice their size (a crowd of copies is one) are dealt
 out by hash; what such a leaf parts, other trees and the rounds bring together. Lists of the nodes that point at a hub are cut by a ranked window
 before they are shuffled.
 
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.scratch import written
 
-TREES, LEAF, JOINED, BUCKET = 6, 256, 24, 2048
+TREES, LEAF, JOINED, BUCKET = 8, 256, 24, 2048
+SHARE, MOST_LEAF = 12, 8192
+PROBES, RECALL = 256, 0.95
 LEAST_CHANGE, MOST_ROUNDS = 0.002, 15
 LISTS = "bucket int, id long, near array<long>, score array<float>, fresh array<boolean>"
 PROPOSED = "bucket int, id long, near long, score float"
@@ -91,34 +96,62 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, int, int]:
 
 def _leaves(nodes: DataFrame, n: int, d: int, k: int, trees: int, seed: int) -> DataFrame:
     """First proposals (bucket, id, near, score): the best of each leaf that a node is in."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    planes = np.random.default_rng(seed).normal(size=(d, trees * bits)).astype(np.float32)
+    size = min(max(LEAF, n // SHARE), MOST_LEAF)
+    leaves = -(-n // size)
+    directions = np.random.default_rng(seed).normal(size=(d, trees * leaves)).astype(np.float32)
+    directions /= np.linalg.norm(directions, axis=0, keepdims=True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            signs = (_units(b.column("x")) @ planes > 0).reshape(len(b), trees, bits)
-            leaf = signs @ weights if bits else np.zeros((len(b), trees), np.int64)
+            leaf = (_units(b.column("x")) @ directions).reshape(len(b), trees, leaves).argmax(2)
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(np.full(len(b), t, np.int32)), pa.array(leaf[:, t].astype(np.int64))], names=["id", "x", "tree", "leaf"])
 
     dealt = nodes.select("id", "x").mapInArrow(deal, "id long, x array<float>, tree int, leaf long")
-    crowded = dealt.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF)
-    parts = dealt.join(crowded, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))).cast("int"))
+    crowded = dealt.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size)
+    parts = dealt.join(crowded, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / size), F.lit(1))).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, x = _longs(table["id"]), _units(table["x"])
-        score = x @ x.T
-        np.fill_diagonal(score, -np.inf)
         most = min(k, len(ids) - 1)
-        if not most:
-            return _proposals(ids[:0], ids[:0], score[:0, 0], BUCKET)
-        best = np.argpartition(-score, most - 1, axis=1)[:, :most]
-        return _proposals(np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel(), BUCKET)
+        near, found = [ids[:0]], [np.zeros(0, np.float32)]
+        for at in range(0, len(ids) if most else 0, 1024):
+            score = x[at : at + 1024] @ x.T
+            score[np.arange(len(score)), np.arange(at, at + len(score))] = -np.inf
+            best = np.argpartition(score, len(ids) - most, axis=1)[:, -most:]
+            near.append(ids[best].ravel())
+            found.append(np.take_along_axis(score, best, 1).ravel())
+        return _proposals(np.repeat(ids, most), np.concatenate(near), np.concatenate(found), BUCKET)
 
     return parts.select("tree", "leaf", "part", "id", "x").groupBy("tree", "leaf", "part").applyInArrow(compare, PROPOSED)
 
 
+def _probed(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """(id, least): a sample of ``PROBES`` nodes, each with the score of its ``k``-th nearest of all other nodes."""
+    chosen = np.random.default_rng(seed).choice(n, min(n, PROBES), replace=False)
+    rows = nodes.where(F.col("id").isin([int(i) for i in chosen])).select("id", "x").collect()
+    asked, x = np.array([r.id for r in rows]), np.array([r.x for r in rows], np.float32)
+    most = min(k, n - 1)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full((len(asked), 0), -np.inf, np.float32)
+        for b in batches:
+            score = x @ _units(b.column("x")).T
+            score[asked[:, None] == _longs(b.column("id"))[None, :]] = -np.inf
+            held = -np.sort(-np.concatenate([held, score], 1), axis=1)[:, :most]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, held.shape[1])), pa.array(held.ravel())], names=["id", "score"])
+
+    scores = nodes.select("id", "x").mapInArrow(best, "id long, score float")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))
+    return written(scores.withColumn("r", place).where(F.col("r") == most).select("id", F.col("score").alias("least")))
+
+
+def _reached(lists: DataFrame, probed: DataFrame, most: int) -> float:
+    """The part of the sample's true neighbours that lists hold; one that scores as the last of them does is as good."""
+    held = F.size(F.filter(F.slice("score", 1, most), lambda s: s >= F.col("least") - 1e-5))
+    return probed.join(lists.select("id", "score"), "id", "left").agg(F.avg(F.when(F.col("score").isNull(), 0).otherwise(held)) / most).first()[0]
+
+
 def _merge(k: int):
     """Old lists and proposals of one bucket to new lists; what wasn't in the old list is fresh."""
 
@@ -188,7 +221,7 @@ def _grid(values: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, wid
     return made
 
 
-def descend(vectors: DataFrame, k: int = 15, wide: int | None = None, trees: int = TREES, joined: int = JOINED, seed: int = 7, least_change: float = LEAST_CHANGE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def descend(vectors: DataFrame, k: int = 15, wide: int | None = None, trees: int = TREES, joined: int = JOINED, seed: int = 7, least_change: float = LEAST_CHANGE, most_rounds: int = MOST_ROUNDS, recall: float = RECALL) -> DataFrame:
     """(key, neighbor, score, rank): about the ``k`` nearest other vectors (key, vec) of each by cosine. Lists are ``wide`` while they are worked on, so that more are found."""
     wide = wide or 4 * k
     nodes, n, d = nodes_of(vectors)
@@ -202,8 +235,16 @@ def descend(vectors: DataFrame, k: int = 15, wide: int | None = None, trees: int
     def merged(lists: DataFrame, proposed: DataFrame) -> DataFrame:
         return written(lists.groupBy("bucket").cogroup(proposed.groupBy("bucket")).applyInArrow(_merge(wide), counted))
 
+    probed, near = _probed(nodes, n, k, seed), min(k, n - 1)
     lists = merged(none, _leaves(nodes, n, d, wide, trees, seed))
+    changed = n * wide
     for turn in range(most_rounds):
+        if _reached(lists, probed, near) >= recall:
+            break
+        if changed <= least_change * n * wide:
+            lists = merged(lists.drop("changed"), _leaves(nodes, n, d, wide, trees, seed + turn + 1))
+            changed = n * wide
+            continue
         # what a node looks at: fresh neighbours first, on both sides; worst is what a proposal must beat
         entries = lists.select("id", F.posexplode(F.arrays_zip("near", "fresh")).alias("pos", "e")).select("id", "pos", "e.near", "e.fresh")
         first = lambda c, by: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("fresh"), *by))
@@ -221,8 +262,7 @@ def descend(vectors: DataFrame, k: int = 15, wide: int | None = None, trees: int
         flags = F.transform(F.arrays_zip("near", "fresh"), lambda e: e["fresh"] & ~F.coalesce(F.array_contains("seen", e["near"]), F.lit(False)))
         old = old.select("bucket", "id", "near", "score", flags.alias("fresh"))
         lists = merged(old, proposed)
-        if lists.agg(F.sum("changed")).first()[0] <= least_change * n * wide:
-            break
+        changed = lists.agg(F.sum("changed")).first()[0]
     best = lists.select("id", F.posexplode(F.arrays_zip("near", "score")).alias("rank", "e")).where(F.col("rank") < k)
     names = nodes.select("id", "key")
     told = best.select("id", "rank", F.col("e.near").alias("near"), F.col("e.score").alias("score"))
