@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import buckets
+from loomspark.operators import buckets, words
 from loomspark.sources import manifest
 from loomspark.sources.scratch import written
 
@@ -55,11 +55,11 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def term_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """(key, vec): a bag of words by built-in functions: each term counts in the bucket that its MD5 picks. Texts without terms have no row."""
-    terms = df.select(F.col(key).alias("key"), F.explode(T.all_terms(F.col(text))).alias("term"))
-    bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    counts = terms.groupBy("key", bucket.alias("b")).agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return counts.select("key", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+    """(key, vec): a bag of words: each term counts in the bucket that its MD5 picks. Texts without terms have no row."""
+    rows = words.buckets(df.select(F.col(key).alias("key"), text), T.lowered(F.col(text)), dim).groupBy("key").agg(F.collect_list("vec").alias("rows"))
+    # a key has one row, but where it is given more than once
+    more = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.get("rows", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return rows.select("key", F.when(F.size("rows") == 1, F.get("rows", F.lit(0))).otherwise(more).cast("array<double>").alias("vec"))
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Callable, input_type: str | None = None) -> DataFrame:
