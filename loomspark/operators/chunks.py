@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import words
 
 
 def frontmatter(df: DataFrame, text: str = "text") -> DataFrame:
@@ -62,6 +64,16 @@ def plain_head(head: str) -> object:
     return found or items or None
 
 
+def _safe_load(yaml, head: str) -> object:
+    """PyYAML's ``safe_load``, by its C parser where it has one; what that refuses is left to the plain one."""
+    if fast := getattr(yaml, "CSafeLoader", None):
+        try:
+            return yaml.load(head, Loader=fast)  # noqa: S506
+        except yaml.YAMLError:
+            pass
+    return yaml.safe_load(head)
+
+
 def front_json(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """YAML heads as JSON objects; what is no YAML or no mapping gives an error text instead. By PyYAML where the workers have it, else by ``plain_head``."""
     import json
@@ -71,7 +83,7 @@ def front_json(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     except ImportError:
         load, wrong = plain_head, ValueError
     else:
-        load, wrong = yaml.safe_load, yaml.YAMLError
+        load, wrong = lambda head: _safe_load(yaml, head), yaml.YAMLError
 
     def one(head: str | None) -> tuple[str, str | None]:
         try:
@@ -134,9 +146,9 @@ def build_chunks(docs: DataFrame, label: str | None = None, most: int = T.MAX_PI
     is split, else the section as it is written. Of a use-case card, only the section that says what it does counts, in its written part.
     """
     rows = doc_columns(docs).withColumn("body", F.when(F.substring_index("path", "/", 1) == "usecases", F.btrim(T.manual_part(F.col("body")), F.lit(" \n\t\r"))).otherwise(F.col("body")))
-    cut = sections(rows.select("path", "body")).withColumn("headings", F.concat_ws(GAP, F.nullif("h2", F.lit("")), F.nullif("h3", F.lit(""))))
-    own = cut.join(rows.select("path", "kind", "title", "module", "status", "aliases"), "path").where((F.col("kind") != "usecase") | (F.col("h2") == CARD_SECTION))
-    plain = T.strip_blocks(F.col("text"))
+    cut = sections(rows, carry=("kind", "title", "module", "status", "aliases")).where((F.col("kind") != "usecase") | (F.col("h2") == CARD_SECTION))
+    own = cut.withColumns({"headings": F.concat_ws(GAP, F.nullif("h2", F.lit("")), F.nullif("h3", F.lit(""))), "plain": T.strip_blocks(F.col("text"))})
+    plain = F.col("plain")
     pieces = F.when(F.length(plain) <= most, F.array(plain)).otherwise(F.transform(T.pack(plain, most, tables=True), lambda x: F.btrim(x, F.lit(" \n\t\r"))))
     split = own.withColumn("pieces", pieces).withColumn("n", F.size("pieces")).select("*", F.posexplode("pieces").alias("part", "piece")).where("piece <> ''")
     ident = F.concat("path", F.lit("#"), F.coalesce(F.nullif("headings", F.lit("")), F.lit(NO_HEADING)), F.when(F.col("n") > 1, F.concat(F.lit("#"), (F.col("part") + 1).cast("string"))).otherwise(""))
@@ -144,23 +156,51 @@ def build_chunks(docs: DataFrame, label: str | None = None, most: int = T.MAX_PI
     return made.select("id", T.sha(F.col("embed_text")).alias("hash"), "path", "kind", "title", "module", "status", "aliases", "headings", F.col("part").cast("int").alias("part"), F.col("shown").alias("text"), "embed_text")
 
 
-def sections(df: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
+#: Fixed value: what is white space behind a heading's #.
+_SPACES = " \t\n\x0b\f\r"
+
+
+def cut_sections(body: str) -> list[tuple[int, str, str, str]]:
+    """(section, h2, h3, text) of one text, as in ``sections``."""
+    found, held, fenced, section, h2, h3 = [], [], False, 0, "", ""
+
+    def close() -> None:
+        if text := "\n".join(held).strip(" \n\t\r"):
+            found.append((section, h2, h3, text))
+        held.clear()
+
+    for line in body.split("\n"):
+        if line.startswith("```"):
+            fenced = not fenced
+        rest = line.lstrip("#") if line.startswith("#") and not fenced else ""
+        level = len(line) - len(rest)
+        if not rest or rest[0] not in _SPACES or level > 3:
+            held.append(line)
+            continue
+        close()
+        section, title = section + 1, rest.lstrip(_SPACES).strip(" ")
+        h2, h3 = ("", "") if level == 1 else (title, "") if level == 2 else (h2, title)
+    close()
+    return found
+
+
+def sections(df: DataFrame, key: str = "path", body: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, section, h2, h3, text): a heading of one to three # opens a section, not inside a fence; sections without text are dropped.
 
-    Lines are numbered, fences are the parity of a running count, and headings the last ones seen.
+    Each row is cut by itself where it stands, and its ``carry`` columns go with every section.
     """
-    lines = df.select(key, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").startswith("```").cast("int")
-    lines = lines.withColumn("fenced", (F.sum(fence).over(w) % 2 == 1) | (fence == 1))
-    level = F.when(~F.col("fenced"), F.length(F.regexp_extract("line", r"^(#{1,3})\s", 1))).otherwise(0)
-    lines = lines.withColumn("level", level).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w))
-    title = F.trim(F.regexp_replace("line", r"^#{1,3}\s+", ""))
-    top = F.last(F.when(F.col("level") == 1, F.lit("")).when(F.col("level") == 2, title), ignorenulls=True).over(w)
-    sub = F.last(F.when(F.col("level").isin(1, 2), F.lit("")).when(F.col("level") == 3, title), ignorenulls=True).over(w)
-    lines = lines.withColumn("h2", F.coalesce(top, F.lit(""))).withColumn("h3", F.coalesce(sub, F.lit("")))
-    out = lines.where("level = 0").groupBy(key, "section", "h2", "h3").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return out.select(key, "section", "h2", "h3", F.btrim(F.array_join(F.col("l.line"), "\n"), F.lit(" \n\t\r")).alias("text")).where("text <> ''")
+    own = df.select(key, *carry, body)
+    schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in (key, *carry)), "section long, h2 string, h3 string, text string"])
+    kinds = {"section": pa.int64(), "h2": pa.string(), "h3": pa.string(), "text": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.slices(batches, [body]):
+            cut = [(i, *s) for i, text in enumerate(b.column(body).to_pylist()) if text is not None for s in cut_sections(text)]
+            rows, *made = zip(*cut, strict=True) if cut else [()] * 5
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in (key, *carry)), *(pa.array(x, t) for x, t in zip(made, kinds.values(), strict=True))], names=[key, *carry, *kinds])
+
+    return own.mapInArrow(run, schema).select(key, "section", "h2", "h3", "text", *carry)
 
 
 def chunks(docs: DataFrame, most: int = T.MAX_PIECE, sep: str = "\n\n", pattern: str = "\n{2,}") -> DataFrame:
