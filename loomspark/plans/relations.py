@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AREA_STATUS = ("canlıda", "kaldırıldı")
+#: Labels up to which they are handed to every task, after a count: else whole texts are shuffled to meet them.
+FEW_LABELS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """(path, key, module, kind, status, title, content, text)."""
     labels = table(spark, d, "labels").select("doc_id", "toxic")
+    labels = F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
     rows = table(spark, d, "documents").join(labels, "doc_id", "left")
     return rows.select(
         F.concat(F.lit("flows/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("doc_id").alias("key"), F.col("source").alias("module"), F.col("lang").alias("kind"),

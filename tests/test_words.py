@@ -57,3 +57,21 @@ def test_a_scan_leaves_counts_and_not_words(spark):
     for df in (search.postings(docs), index.term_vectors(docs, "key", "content")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Whole texts were shuffled to meet their labels when these were over the session's threshold."""
+    from loomspark.plans import relations as R
+
+    spark.range(5).selectExpr("id AS doc_id", "'a\nb' AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few = R.docs(spark, str(tmp_path))
+        monkeypatch.setattr(R, "FEW_LABELS", 2)
+        many = R.docs(spark, str(tmp_path))
+        assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(few, "key", "status") == rows_of(many, "key", "status") == [(i, "kaldırıldı" if i == 1 else "canlıda") for i in range(5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
