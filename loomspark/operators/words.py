@@ -65,6 +65,15 @@ def _distinct(texts: pa.Array, breaks: str) -> tuple[np.ndarray, np.ndarray, pa.
     return rows, np.asarray(words.indices, np.int64), words.dictionary
 
 
+def terms(texts: pa.Array, breaks: str) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(rows, codes, words, tf): how often each text holds each of its terms, by the terms' numbers among the distinct words."""
+    rows, codes, found = _distinct(texts, breaks)
+    kept = is_term(found)[codes]
+    width = max(1, len(found))
+    pairs, tf = np.unique(rows[kept] * width + codes[kept], return_counts=True)
+    return pairs // width, pairs % width, found, tf.astype(np.int64)
+
+
 def counts(df: DataFrame, texts: dict[str, Column], breaks: str, weights: dict[str, int], asked: dict[str, int] | None = None, rest: int | None = None, terms: bool = True) -> DataFrame:
     """(key, term, tf), or (key, n, tf) by the numbers of the ``asked`` terms: how often a row's ``texts`` hold a word, times the field's weight.
 
