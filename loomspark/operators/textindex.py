@@ -39,7 +39,7 @@ from loomspark.sources.scratch import written
 RANGE, BUCKETS, FIRST, PER_PART, DOCS = 256, 32, 4, 16, -1
 #: Changed documents in one range's worth of segments: beyond so many segments ``update`` says that compacting is due.
 MANY_SEGMENTS = 16
-#: Rows of a Parquet page of blocks. Postings at which a part ends before it is full; rows, and characters of keys, up to which a counted table is handed to every task.
+#: Rows of a Parquet page of blocks. Postings at which a part ends before it is full; rows, and characters of keys or marks, up to which a counted table is handed to every task.
 PAGE, MOST_PAIRS, FEW_ROWS, FEW_CHARS = 4000, 2_000_000, 2_000_000, 32_000_000
 
 
@@ -238,9 +238,13 @@ def update(spark: SparkSession, path: str, docs: DataFrame, weights: dict[str, i
         folder = uuid.uuid4().hex
         gone.select("part", "at").write.parquet(f"{index.path}/{folder}/dead")
         dead = spark.read.schema("part long, at int").parquet(f"{index.path}/{folder}/dead")
-        # of the blocks, terms and places alone are read
-        posted = index.blocks().select("term", "part", F.explode("at").alias("at"))
-        posted.join(_handed(dead, n), ["part", "at"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{index.path}/{folder}/lost")
+        gone_at = dead.groupBy("part").agg(F.collect_set("at").alias("ats"))
+        marks = written(gone_at.select("part", F.transform(F.sequence(F.lit(0), F.array_max("ats")), lambda i: F.array_contains("ats", i)).alias("marks")))
+        size = marks.agg(F.sum(F.size("marks")).alias("n")).first().n
+        # of the blocks, terms and places alone are read, and no posting becomes a row
+        posted = index.blocks().select("term", "part", "at").join(F.broadcast(marks) if size <= FEW_CHARS else marks, "part")
+        less = posted.select("term", (-F.size(F.filter("at", lambda x: F.get("marks", x)))).cast("long").alias("df")).where("df < 0")
+        less.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{index.path}/{folder}/lost")
         content["dead"].append(f"{folder}/dead")
         content["lost"].append(f"{folder}/lost")
         less = gone.agg(F.count_if(F.col("len") > 0).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
@@ -265,7 +269,7 @@ def compact(spark: SparkSession, path: str) -> int:
     index = Index(spark, path)
     number, range_, buckets, size = index.version + 1, index.range, index.buckets, index.range * PER_PART
     parts = _gone(index, index.parts())
-    live = F.size("keys") - F.coalesce(F.size("gone"), F.lit(0))
+    live = F.array_size("keys") - F.coalesce(F.array_size("gone"), F.lit(0))
     # a row for each part: some thousands of documents
     before = F.sum("live").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     groups = written(parts.select("part", live.alias("live")).select("part", F.floor(F.coalesce(before, F.lit(0)) / size).alias("g")))
