@@ -32,15 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.functions.memory import trim
 from loomspark.operators import search, words
 from loomspark.sources import manifest
 from loomspark.sources.scratch import written
 
-RANGE, BUCKETS, FIRST, PER_PART, DOCS = 256, 32, 4, 16, -1
+RANGE, BUCKETS, FIRST, PER_PART, DOCS = 256, 32, 4, 8, -1
 #: Changed documents in one range's worth of segments: beyond so many segments ``update`` says that compacting is due.
 MANY_SEGMENTS = 16
 #: Rows of a Parquet page of blocks. Postings at which a part ends before it is full; rows, and characters of keys or marks, up to which a counted table is handed to every task.
-PAGE, MOST_PAIRS, FEW_ROWS, FEW_CHARS = 4000, 2_000_000, 2_000_000, 32_000_000
+PAGE, MOST_PAIRS, FEW_ROWS, FEW_CHARS = 4000, 1_000_000, 2_000_000, 32_000_000
 
 
 def _impact(tf: Column, length: Column, mean: Column) -> Column:
@@ -121,7 +122,7 @@ class _Parts:
     def add(self, keys: pa.Array, hashes: pa.Array, found: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]) -> None:
         """Documents, and their postings (rows, codes, words, tf)."""
         for rows, codes, names, tf in found:
-            self.held.append((rows + self.docs, codes + sum(map(len, self.names)), tf))
+            self.held.append(((rows + self.docs).astype(np.int32), (codes + sum(map(len, self.names))).astype(np.int32), tf))
             self.names.append(names.cast(pa.large_string()))
             self.pairs += len(rows)
         self.keys.append(keys)
@@ -133,7 +134,8 @@ class _Parts:
         if not self.docs:
             return
         whole = lambda i, t: np.concatenate([x[i] for x in self.held]).astype(t) if self.held else np.zeros(0, t)
-        at, codes, tf = whole(0, np.int64), whole(1, np.int64), whole(2, np.int64)
+        at, codes, tf = whole(0, np.int32), whole(1, np.int32), whole(2, np.int64)
+        self.held = []
         names = pa.chunked_array(self.names, pa.large_string()).combine_chunks().dictionary_encode()
         bucket = np.fromiter((zlib.crc32(t) % self.buckets for t in names.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(names.dictionary))
         rank = np.empty(len(names.dictionary), np.int64)
@@ -185,6 +187,7 @@ def _scanned(index: Index, rows: DataFrame, weights: dict[str, int]) -> DataFram
                     yield from parts.rows()
         if parts:
             yield from parts.rows()
+        trim()
 
     return rows.mapInArrow(run, _schema(rows.schema["key"].dataType.simpleString()))
 

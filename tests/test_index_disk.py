@@ -56,7 +56,7 @@ def test_an_update_keeps_and_shuffles_no_postings(spark, tmp_path):
 @pytest.mark.parametrize("handed", [True, False])
 def test_rows_are_those_of_text_search(spark, tmp_path, monkeypatch, key, handed):
     monkeypatch.setattr(textindex, "RANGE", 4)
-    monkeypatch.setattr(textindex, "MOST_PAIRS", 3000)  # about 25 documents, of 64 in a part
+    monkeypatch.setattr(textindex, "MOST_PAIRS", 3000)  # about 25 documents, of 32 in a part
     if not handed:
         monkeypatch.setattr(textindex, "FEW_ROWS", -1)
         monkeypatch.setattr(textindex, "FEW_CHARS", -1)
@@ -75,7 +75,7 @@ def test_rows_are_those_of_text_search(spark, tmp_path, monkeypatch, key, handed
     textindex.compact(spark, path)
     index = textindex.Index(spark, path)
     assert (index.content["docs"], index.content["tokens"]) == (content["docs"], content["tokens"])
-    assert index.docs().count() == steps[-1].count() and index.parts().where(F.size("keys") > 64).count() == 0 and index.parts().count() < 20
+    assert index.docs().count() == steps[-1].count() and index.parts().where(F.size("keys") > 32).count() == 0 and index.parts().count() < 24
     assert as_rows(textindex.search_index(spark, path, questions, 7, 2)) == as_rows(search.search_docs(steps[-1], questions, 7))
     assert textindex.update(spark, path, steps[-1]).get("version") is None
 
